@@ -21,3 +21,14 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 ORACLES: dict[str, str] = {"op10_near_dedup": NEAR_DEDUP}
+
+#: Containment of each item's distinct 5-word shingles in each document.
+CONTAMINATION = r"""
+WITH d AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents), LATERAL unnest(range(1, len(w) - 3)) AS t(i)),
+b AS (SELECT DISTINCT item_id, w[i:i + 4] AS g FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark), LATERAL unnest(range(1, len(w) - 3)) AS t(i)),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared, round(count(*) / n, 6) AS containment
+FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
+"""
+
+ORACLES["op5_contamination"] = CONTAMINATION

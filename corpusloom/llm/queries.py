@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import fold, table
+from corpusloom.llm.contamination import contaminated
+from corpusloom.llm.license_scan import scan_licenses
+from corpusloom.llm.lm_scoring import score_texts
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a backoff automaton trained on six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs.withColumn("held_out", fold("doc_id", 7, 2)))
+
+
+def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("anchors_hit")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op5_contamination, op7_license_scan, op10_near_dedup)}
