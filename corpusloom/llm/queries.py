@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, table
 from corpusloom.llm.contamination import contaminated
+from corpusloom.llm.language_id import identify_languages
 from corpusloom.llm.license_scan import scan_licenses
 from corpusloom.llm.lm_scoring import score_texts
 from corpusloom.llm.near_dedup import near_duplicates
@@ -27,6 +29,13 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("anchors_hit")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by automata of three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold("doc_id", 4, 2).alias("held_out"))
+    labelled = docs.filter(~F.col("held_out")).select("doc_id", "text", "lang")
+    return identify_languages(docs.drop("lang"), labelled).drop("text")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))
@@ -37,4 +46,4 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op5_contamination, op7_license_scan, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op5_contamination, op6_language_id, op7_license_scan, op10_near_dedup)}
