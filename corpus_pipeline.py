@@ -1,8 +1,61 @@
-"""Five stages from raw documents to a training mix."""
+"""Five stages from raw documents to a training mix.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns as Parquet into the shared
+folder and reads it again as the next one's documents. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm.common import materialize, table
+from corpusloom.llm.contamination import contaminated
+from corpusloom.llm.language_id import UNDETERMINED, identify_languages
+from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.near_dedup import near_duplicates
+from corpusloom.llm.toxicity import reject_toxic
+
+#: Phrases a symbol above which a text isn't in any known language: prose needs 0.12 to 0.35 of its own language.
+MOST_PHRASES = 0.5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier chain takes for toxic."""
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those that need too many phrases in every known language."""
+    found = identify_languages(docs, docs.select("doc_id", "text", "lang"))
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= MOST_PHRASES)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the least id; one row of repeated rows."""
+    gone = near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    leaks = materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources meet their target weights, in shuffled order."""
+    return mix_sources(docs)
+
+
+STAGES = [("toxicity", toxicity), ("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+
+#: The trained stages have no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

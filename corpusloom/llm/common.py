@@ -51,3 +51,11 @@ def fold(doc_id: str | Column, n: int, k: int) -> Column:
     """True where crc32(doc_id as text) mod n is k; false for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n == k, F.lit(False))
+
+
+def draw(rows: DataFrame, max_rows: int) -> DataFrame:
+    """All rows of (doc_id, ...), or a draw of about max_rows of them by a hash of their id, with a hard bound of twice that: small enough to broadcast."""
+    n = rows.count()
+    if n > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    return rows.limit(2 * max_rows)
