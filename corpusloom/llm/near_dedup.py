@@ -6,8 +6,9 @@ Stages, all distributed:
    Documents with equal sets (exact copies among them) become one class, by a groupBy with partial aggregation, so a
    group of thousands of copies is one row from here on.
 2. Classes that share a band key form a bucket. A bucket is never turned into all its pairs: its members are compared with
-   one pivot. Where that leaves a bucket in several components, further rounds take other pivots, and only what is still in
-   different components in the end is compared pair by pair, so no link that a bucket could show is lost.
+   one pivot. Where that leaves a bucket in several components, further rounds take other pivots; for the documents of the
+   buckets that are in several components even then, an exact prefix-filtered join finds the pairs to compare, so no link
+   that a bucket could show is lost.
 3. Every comparison is confirmed on the full shingle sets.
 4. Links are grouped by union-find: a forest inside each partition first, then contraction of the forests' roots.
 """
@@ -153,6 +154,31 @@ def connected_components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among left (node, comp, n), of different components, by prefix filtering, which is exact.
+
+    With one order of all shingles, rarest first, two sets can only be similar enough if they share one of their first
+    n - ceil(percent * n / 100) + 1, and if what follows a shared place is long enough for the rest of the intersection. So
+    documents that share no more than a common passage, whose shingles come last, don't meet.
+    """
+    rows = left.join(sets, "node").mapInPandas(_unpacked, "node long, comp long, n long, h array<long>").select("node", "comp", "n", F.explode("h").alias("h"))
+    rows = materialize(rows, "shingles")
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "f")
+    # a shingle of one component only is rarer than all others: as a place it counts, as a meeting point not
+    shared = rows.join(common, "h").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    shared = shared.withColumn("skip", F.col("n") - F.size("hs")).withColumn("prefix", F.expr(f"n - int(ceil({percent} * n / 100.0)) + 1"))
+    met = shared.select("node", "comp", "n", "skip", F.posexplode(F.expr("slice(hs, 1, int(greatest(prefix - skip, 0)))")).alias("i", "x"))
+    met = materialize(met.select("node", "comp", "n", (F.col("skip") + F.col("i")).alias("at"), F.col("x.h").alias("h")), "prefixes")
+    other = met.select("h", *[F.col(c).alias(f"{c}_2") for c in ("node", "comp", "n", "at")])
+    enough = F.expr(f"(100 + {percent}) * (least(n - at, n_2 - at_2)) >= {percent} * (n + n_2) and 100 * least(n, n_2) >= {percent} * greatest(n, n_2)")
+    return met.join(other, "h").filter("node < node_2 and comp <> comp_2").filter(enough).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[["node", "comp", "n"]].assign(h=[np.frombuffer(s, np.int64) for s in pdf["shingles"]])
+
+
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, pivot_rounds: int = 2) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -194,18 +220,14 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 7
             pairs = here.join(split.select("key", "p"), "key").filter("comp <> p.comp").filter(fits("n", "p.n"))
             pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         else:
-            left = materialize(here.join(split.select("key"), "key", "left_semi"), "split")
-            other = left.select("key", F.col("node").alias("node_2"), F.col("comp").alias("comp_2"), F.col("n").alias("n_2"))
-            pairs = left.join(other, "key").filter("node < node_2 and comp <> comp_2").filter(fits("n", "n_2")).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+            left = here.join(split.select("key"), "key", "left_semi").select("node", "comp", "n").distinct()
+            pairs = _prefix_pairs(left, sets, percent)
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < pivot_rounds:
-                continue
-            break
-        tested, new = tested.union(pairs), confirmed(pairs)
-        if not new.isEmpty():
-            links = links.union(new)
-            comps = connected_components(links)
+        if not pairs.isEmpty():
+            tested, new = tested.union(pairs), confirmed(pairs)
+            if not new.isEmpty():
+                links = links.union(new)
+                comps = connected_components(links)
     roots = classes.join(comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     linked = sig.filter("n_shingles > 0 and doc_id is not null").join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = sig.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
