@@ -63,7 +63,7 @@ def folder_summary(spark, sf):
 @query(
     "document_summary",
     f"""WITH {LINES}, r AS (SELECT file_id, chunk_index, left(content, 2) AS section, length(content) // 100 AS page, {TOK} AS tokens FROM lines),
-    s AS (SELECT file_id, string_agg(section, ',' ORDER BY i) AS sections FROM (SELECT file_id, section, min(chunk_index) AS i FROM r GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY i) <= 20) GROUP BY file_id),
+    s AS (SELECT file_id, string_agg(section, ',' ORDER BY i) AS sections FROM (SELECT * FROM (SELECT file_id, section, min(chunk_index) AS i FROM r GROUP BY file_id, section) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY i) <= 20) GROUP BY file_id),
     p AS (SELECT file_id, string_agg(page, ',' ORDER BY page) AS pages FROM (SELECT DISTINCT file_id, page FROM r QUALIFY dense_rank() OVER (PARTITION BY file_id ORDER BY page) <= 20) GROUP BY file_id)
     SELECT file_id, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, any_value(sections) AS sections, any_value(pages) AS pages FROM r JOIN s USING (file_id) JOIN p USING (file_id) GROUP BY file_id""",
 )
@@ -204,7 +204,7 @@ def representative_files(spark, sf):
     return S.representative_files(files(spark, sf), topics(spark, sf).filter("size(topics) = 5"), lines(spark, sf))
 
 
-@query("topic_intersection", f"WITH {TOPICS} SELECT a.file_id, array_to_string(list_sort(list_intersect(a.topics, b.topics)), ',') AS shared FROM insights a JOIN insights b ON CAST(b.file_id AS BIGINT) = CAST(a.file_id AS BIGINT) + 1")
+@query("topic_intersection", f"WITH {TOPICS} SELECT a.file_id, coalesce(array_to_string(list_sort(list_intersect(a.topics, b.topics)), ','), '') AS shared FROM insights a JOIN insights b ON CAST(b.file_id AS BIGINT) = CAST(a.file_id AS BIGINT) + 1")
 def topic_intersection(spark, sf):
     t = topics(spark, sf)
     nxt = t.select((F.col("file_id").cast("long") - 1).cast("string").alias("file_id"), F.col("topics").alias("other"))
