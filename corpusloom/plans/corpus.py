@@ -140,12 +140,12 @@ def file_references(spark, sf):
     return graph.file_references(naming_chunks(spark, sf), files(spark, sf))
 
 
-@query("file_edges", f"{SHARED}, {REFERENCES} SELECT file_id, other_id AS target_id, 'shared_topic' AS kind, topic_key AS label FROM st UNION ALL SELECT file_id, target_id, 'reference', "by" FROM rf")
+@query("file_edges", f"{SHARED}, {REFERENCES} SELECT file_id, other_id AS target_id, 'shared_topic' AS kind, topic_key AS label FROM st UNION ALL SELECT file_id, target_id, 'reference', rf.by FROM rf")
 def file_edges(spark, sf):
     return graph.file_edges(shared_topics(spark, sf), file_references(spark, sf))
 
 
-@query("edge_order", f"{SHARED}, {REFERENCES}, e AS (SELECT file_id, other_id AS target_id, 'shared_topic' AS kind, topic_key AS label FROM st UNION ALL SELECT file_id, target_id, 'reference', "by" FROM rf) SELECT file_id, kind, label, target_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY kind, target_id, lower(label)) AS INTEGER) AS place FROM e")
+@query("edge_order", f"{SHARED}, {REFERENCES}, e AS (SELECT file_id, other_id AS target_id, 'shared_topic' AS kind, topic_key AS label FROM st UNION ALL SELECT file_id, target_id, 'reference', rf.by FROM rf) SELECT file_id, kind, label, target_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY kind, target_id, lower(label)) AS INTEGER) AS place FROM e")
 def edge_order(spark, sf):
     from pyspark.sql import Window as W
 
