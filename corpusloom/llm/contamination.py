@@ -51,7 +51,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75,
     doc_id, item_id, item_shingles, shared, containment, anchors_hit.
 
     Words are lower-cased runs of letters and digits. An item of fewer than five words is one shingle of its length. Null and
-    wordless texts match nothing. Items with equal ids and words count once; rows of docs with an equal doc_id count as one
+    wordless texts match nothing. Items with equal ids and words count once, other texts with
+    the same id are matched each on its own; rows of docs with an equal doc_id count as one
     document, null ids too. Other columns are ignored. Empty tables give an empty result.
     """
     wanted = _item_shingles(items.select("item_id", "text"), threshold, miss)

@@ -97,8 +97,11 @@ class Model:
         parts, self.starts, base = [], [], 0
         for lang in self.languages:
             step = suffix_automaton(to_symbols(samples[lang], table).tolist(), self.width)
-            again = np.where(step[0] < 0, 0, step[0])  # a symbol the sample hasn't: a phrase of its own
-            step = np.where(step < 0, ~(again + base)[None, :], step + base)
+            dead = len(step)  # after a symbol that the sample hasn't, a phrase of its own: no arc leads on
+            step = np.vstack([step, np.full((1, self.width), -1, np.int32)])
+            again = np.where(step[0] < 0, dead, step[0]) + base
+            step = np.where(step < 0, ~again[None, :], step + base)
+            step[0] = again  # the start is left once, by the first phrase
             parts.append(step)
             self.starts.append(base)
             base += len(step)
@@ -198,4 +201,4 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: in
 
     names = {"lang_pred", "score", "phrase_rate"}
     kept: list[Column] = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, parse("text").alias("_p")).select(*kept, "_p.lang_pred", "_p.score", "_p.phrase_rate")
+    return docs.select(*kept, parse("text").alias("__p")).select(*kept, "__p.lang_pred", "__p.score", "__p.phrase_rate")

@@ -61,11 +61,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, pow
     are replaced.
     """
     kept = [c for c in docs.columns if c not in ("copy", "rate")]
-    rates = source_rates(docs, weights, power, mean).withColumnRenamed("source", "_source")
+    rates = source_rates(docs, weights, power, mean).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     if docs.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    counted = rated.withColumn("copies", poisson_count(F.col("rate"), F.col("doc_id"), F.lit(seed))).filter("copies > 0")
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "rate")
+    rated = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("__source")))
+    counted = rated.withColumn("__copies", poisson_count(F.col("__rate"), F.col("doc_id"), F.lit(seed))).filter("__copies > 0")
+    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"), F.col("__rate").alias("rate"))
     order = F.xxhash64("doc_id", "copy", F.lit(seed))
-    return copies.withColumn("_order", order).repartition(shuffle_partitions(docs.sparkSession), "_order").sortWithinPartitions("_order").drop("_order")
+    return copies.repartition(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order)

@@ -119,7 +119,8 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start in range(0, len(pdf), 64):
             part = pdf.iloc[start : start + 64]
             found = [list(markers_of(t)) for t in part["text"]]
-            yield pd.DataFrame({"marker": [m for f in found for m in f], "labels": [y for y, f in zip(part["labels"], found, strict=True) for _ in f]})
+            if any(found):
+                yield pd.DataFrame({"marker": [m for f in found for m in f], "labels": [y for y, f in zip(part["labels"], found, strict=True) for _ in f]})
 
 
 def train_chain(labelled: DataFrame, categories: list[str], *, max_markers: int = 400, min_texts: int = 5, folds: int = 5, ridge: float = 0.05) -> Chain:
@@ -143,7 +144,8 @@ def train_chain(labelled: DataFrame, categories: list[str], *, max_markers: int
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"rank": pdf["rank"], "labels": pdf["labels"], "has": [sorted(at[m] for m in _known(t, at)) if t else [] for t in pdf["text"]]})
+            if len(pdf):
+                yield pd.DataFrame({"rank": pdf["rank"], "labels": pdf["labels"], "has": [sorted(at[m] for m in _known(t, at)) if t else [] for t in pdf["text"]]})
 
     got = rows.mapInPandas(present, "rank long, labels array<int>, has array<int>").toPandas().sort_values("rank", ignore_index=True)
     x = np.zeros((len(got), len(markers)))
@@ -166,7 +168,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, categories: list[str],
         return pd.DataFrame(shared.value.predict_texts(texts.tolist()), columns=names)
 
     kept = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, predict("text").alias("_p")).select(*kept, *[F.col("_p")[n].alias(n) for n in names])
+    return docs.select(*kept, predict("text").alias("__p")).select(*kept, *[F.col("__p")[n].alias(n) for n in names])
 
 
 def category_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
