@@ -41,19 +41,22 @@ def markers_of(text: str | None) -> set[str]:
     return found
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Weights, the last for the intercept: Newton's method on the penalised likelihood."""
-    x = np.column_stack([x, np.ones(len(x))])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 15) -> np.ndarray:
+    """Weights, the last for the intercept: Newton's method on the penalised likelihood. Equal rows, most of which have no marker at all, count as one with a weight."""
+    mark = np.column_stack([x, y]) @ np.random.default_rng(0).random(x.shape[1] + 1)  # equal for equal rows
+    _, first, at = np.unique(mark, return_index=True, return_inverse=True)
+    times = np.bincount(at)
+    x, y = np.column_stack([x[first], np.ones(len(first))]), y[first]
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (times * (p - y)) + penalty * w
+        hess = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         move = np.linalg.solve(hess, grad)
         w -= move
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w
 
