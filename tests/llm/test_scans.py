@@ -130,10 +130,8 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     assert set(odd_docs.columns) == set(got.columns) and got.count() > 0 and mix_sources(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op5_contamination", "op10_near_dedup", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op4_warc", "op5_contamination", "op7_license_scan", "op9_mixing", "op10_near_dedup"])
 def test_sql(name, spark, duck, data):
-    if name not in queries.ORACLES:
-        pytest.skip("no SQL")
     df = queries.QUERIES[name](spark, data)
     rel = duck.sql(queries.ORACLES[name])
     assert sorted(map(repr, map(tuple, df.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
