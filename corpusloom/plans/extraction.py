@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, export, lifecycle
+from corpusloom.operators import chunking, export, indexing, lifecycle
 from corpusloom.plans.registry import query
 from corpusloom.sources import extract as X
 from corpusloom.sources.tables import FILES, LINES, files, lines, messages, table
@@ -138,3 +138,11 @@ def chunk_documents(spark, sf):
 def split_tables(spark, sf):
     f = orders_by(spark, sf, F.concat_ws(";", "o_orderkey", "o_orderstatus", "o_orderpriority"), "key;status;priority\n", "\n")
     return chunking.split_tables(X.parsed_elements(f, "delimited"), most=1000, target=500)
+
+
+@query("incremental_index")
+def incremental_index(spark, sf):
+    """The documents as Markdown files over a chunk table that knows half of them."""
+    f = marked_up(spark, sf).withColumn("extension", F.lit(".md")).withColumn("sha256", F.sha2("text", 256))
+    old = f.filter(F.col("file_id").cast("long") % 2 == 0).select("file_id", F.lit(0).alias("chunk_index"), F.concat("file_id", F.lit(":0")).alias("chunk_id"), F.col("text").alias("content"), F.col("sha256").alias("source_sha256"), F.lit("1").alias("parser_version"), F.lit("1").alias("chunker_version"))
+    return indexing.incremental_index(f, old).select("file_id", "chunk_index", "chunk_id")

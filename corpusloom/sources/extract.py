@@ -143,7 +143,7 @@ def markdown_elements(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("type", kind).withColumn("level", F.when(F.col("type") == "HEADING", F.length(F.regexp_extract("content", "^#+", 0))))
     rows = rows.withColumn("opens", F.col("fence") & (F.col("fences") % 2 == 1)).withColumn("before", _previous("type"))
     starts = F.coalesce(F.col("type") != F.col("before"), F.lit(True)) | F.col("type").isin("HEADING", "LIST_ITEM") | F.col("opens")
-    return _islands(rows, starts)
+    return _islands(rows, starts).withColumn("text", F.when(F.col("type") == "HEADING", F.trim(F.regexp_replace("text", r"^#{1,6}\s+", ""))).otherwise(F.col("text")))
 
 
 # What a class and a function begin with.
