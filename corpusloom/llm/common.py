@@ -59,3 +59,8 @@ def draw(rows: DataFrame, max_rows: int) -> DataFrame:
     if n > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
     return rows.limit(2 * max_rows)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df (some numbers a row) with a broadcast hint if it has at most so many rows: counted, not assumed; else as it is, to be joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

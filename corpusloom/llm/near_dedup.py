@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import materialize, small
 from corpusloom.llm.shingles import GOLDEN, WordHashes, mix64, shingle_set, words
 
 
@@ -137,19 +137,22 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b) to (node, comp): comp is the least node reachable. Nodes without links are absent."""
-    edges = materialize(links.mapInPandas(_forest, "a long, b long").distinct(), "links")
+    """links (a, b) to (node, comp): comp is the least node reachable. Nodes without links are absent.
+
+    Each partition turns its links into a forest. Then, round by round, every root takes the least neighbour's root, and what is
+    left of the links is expressed by roots; the number of roots falls at least by half a round. A round shuffles twice.
+    """
+    edges = materialize(links.mapInPandas(_forest, "a long, b long"), "links")
     label = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")), "labels")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = materialize(both.groupBy(F.col("a").alias("comp")).agg(F.least(F.min("b"), F.col("comp")).alias("up")), "parents")
-        over = up.select(F.col("comp").alias("up"), F.col("up").alias("top"))  # the parent's parent
-        up = up.join(over, "up", "left").select("comp", F.coalesce("top", "up").alias("up"))
-        up = materialize(up, "parents")
-        label = materialize(label.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
-        a, b = (up.select(F.col("comp").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b"))
+        over = small(up.select(F.col("comp").alias("up"), F.col("up").alias("top")))  # the parent's parent
+        up = materialize(up.join(over, "up", "left").select("comp", F.coalesce("top", "up").alias("up")), "parents")
+        label = materialize(label.join(small(up), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        a, b = (small(up.select(F.col("comp").alias(c), F.col("up").alias(f"{c}_up"))) for c in ("a", "b"))
         edges = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
-        edges = materialize(edges.filter("a <> b").distinct().mapInPandas(_forest, "a long, b long").distinct(), "links")
+        edges = materialize(edges.filter("a <> b").distinct(), "links")
         if edges.isEmpty():
             return label
 
@@ -161,7 +164,7 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n - ceil(percent * n / 100) + 1, and if what follows a shared place is long enough for the rest of the intersection. So
     documents that share no more than a common passage, whose shingles come last, don't meet.
     """
-    rows = left.join(sets, "node").mapInPandas(_unpacked, "node long, comp long, n long, h array<long>").select("node", "comp", "n", F.explode("h").alias("h"))
+    rows = sets.join(small(materialize(left, "left")), "node").mapInPandas(_unpacked, "node long, comp long, n long, h array<long>").select("node", "comp", "n", F.explode("h").alias("h"))
     rows = materialize(rows, "shingles")
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "f")
     # a shingle of one component only is rarer than all others: as a place it counts, as a meeting point not
@@ -179,7 +182,7 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["node", "comp", "n"]].assign(h=[np.frombuffer(s, np.int64) for s in pdf["shingles"]])
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, pivot_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, pivot_rounds: int = 1) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     A link is 100 * |A and B| >= percent * |A or B| on distinct shingles of shingle_words words. With 32 bands of 4 rows a
@@ -193,42 +196,41 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 7
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("key", "pivot")
+    shared = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).filter("pivot.node <> last").select("key", "pivot")
     members = materialize(banded.join(shared, "key").select("key", "node", "n", "pivot"), "members")
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    # repeated doc_ids: one text each, that of the class
-    texts = docs.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(texts.mapInPandas(_sets(shingle_words), "node long, shingles binary"), "sets")
-    sizes = members.select("node", "n").distinct()
+    nodes = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    sets = materialize(docs.join(small(nodes), "doc_id", "left_semi").mapInPandas(_sets(shingle_words), "node long, shingles binary"), "sets")
+    if sets.count() > nodes.count():  # repeated doc_ids: one text each will do, for rows that differ are no class of their own
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
-        return materialize(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long"), "confirmed")
+        return materialize(b.join(small(pairs), "b").join(a, "a").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long"), "confirmed")
 
     def fits(x: str, y: str):
         return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")  # else no intersection can be large enough
 
-    first = members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").filter("a <> b").distinct()
-    first = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").filter(fits("n", "n_a")).select("a", "b")
-    tested = materialize(first, "pairs")
+    first = members.filter(F.col("pivot.node") != F.col("node")).filter(fits("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+    tested = materialize(first.distinct(), "pairs")
     links = confirmed(tested)
     comps = connected_components(links)
     for turn in range(pivot_rounds + 1):
-        here = members.select("key", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("lo <> hi")
+        here = members.select("key", "node", "n").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("lo <> hi").select("key", "p")
+        split = materialize(split, "split")
         if turn < pivot_rounds:
-            pairs = here.join(split.select("key", "p"), "key").filter("comp <> p.comp").filter(fits("n", "p.n"))
+            pairs = here.join(small(split), "key").filter("comp <> p.comp").filter(fits("n", "p.n"))
             pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         else:
-            left = here.join(split.select("key"), "key", "left_semi").select("node", "comp", "n").distinct()
+            left = here.join(small(split.select("key")), "key", "left_semi").select("node", "comp", "n").distinct()
             pairs = _prefix_pairs(left, sets, percent)
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(pairs.distinct().join(small(tested), ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested, new = tested.union(pairs), confirmed(pairs)
             if not new.isEmpty():
                 links = links.union(new)
                 comps = connected_components(links)
-    roots = classes.join(comps, "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
+    roots = classes.join(small(comps), "node", "left").select("set_key", F.coalesce("comp", "node").alias("component_id"))
     linked = sig.filter("n_shingles > 0 and doc_id is not null").join(roots, "set_key").select("doc_id", "n_shingles", "component_id")
     alone = sig.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.expr("doc_id = component_id"), F.lit(False)).alias("kept"))
