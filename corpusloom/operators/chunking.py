@@ -44,43 +44,58 @@ def split_tables(elements: DataFrame, most: int = MOST, target: int = TARGET) ->
 
 
 def _fold(target: int, most: int, overlap: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["elem_idx", "piece"])
-        rows, held, size = [], [], 0
-        first = pdf.iloc[0]
-
-        def flush(keep: bool) -> None:
-            nonlocal held, size
-            texts = [e.text for e in held if e.text.strip()]
-            if texts:
-                kinds = {e.type for e in held}
-                kind = next((k for t, k in (("TABLE", "table"), ("CODE_BLOCK", "code"), ("TRANSCRIPT_SEGMENT", "transcript"), ("IMAGE_CAPTION", "visual"), ("VISUAL_METADATA", "visual")) if t in kinds), "text")
-                rows.append((*key, len(rows), first["h1"], first["h2"], first["section"], "\n\n".join(texts).strip(), kind, min(e.line_start for e in held), max(e.line_end for e in held), len(held)))
-            tail: list = []
-            if keep and texts:
-                for e in reversed(held[1:]):  # never the whole chunk again
-                    if e.type in ("HEADING", "TABLE") or tail and sum(len(x.text) for x in tail) + len(e.text) > overlap:
-                        break
-                    tail.insert(0, e)
-            held, size = tail, sum(len(e.text) for e in tail)
-
-        for e in pdf.itertuples():
-            if held and (size + len(e.text) > most or size >= target):
-                flush(overlap > 0)
-            held.append(e)
-            size += len(e.text)
-        flush(False)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
+    """Folds sorted rows: a new (file, segment) begins where the key changes; only one segment is held."""
+
+    def chunk(held: list, part: int) -> tuple | None:
+        texts = [e.text for e in held if e.text.strip()]
+        if not texts:
+            return None
+        kinds, first = {e.type for e in held}, held[0]
+        kind = next((k for t, k in (("TABLE", "table"), ("CODE_BLOCK", "code"), ("TRANSCRIPT_SEGMENT", "transcript"), ("IMAGE_CAPTION", "visual"), ("VISUAL_METADATA", "visual")) if t in kinds), "text")
+        return (first.file_id, first.segment, part, first.h1, first.h2, first.section, "\n\n".join(texts).strip(), kind, min(e.line_start for e in held), max(e.line_end for e in held), len(held))
+
+    def tail(held: list) -> list:
+        kept: list = []
+        for e in reversed(held[1:]):  # never the whole chunk again
+            if e.type in ("HEADING", "TABLE") or kept and sum(len(x.text) for x in kept) + len(e.text) > overlap:
+                break
+            kept.insert(0, e)
+        return kept
+
+    def run(batches):
+        held, size, part, key = [], 0, 0, None
+        for pdf in batches:
+            rows = []
+            for e in pdf.itertuples(index=False):
+                fresh = (e.file_id, e.segment) != key
+                if held and (fresh or size + len(e.text) > most or size >= target):
+                    if done := chunk(held, part):
+                        rows.append(done)
+                        part += 1
+                    held = tail(held) if done and overlap > 0 and not fresh else []
+                    size = sum(len(x.text) for x in held)
+                if fresh:
+                    key, part = (e.file_id, e.segment), 0
+                held.append(e)
+                size += len(e.text)
+            yield _chunk_frame(rows)
+        last = chunk(held, part) if held else None
+        yield _chunk_frame([last] if last else [])
 
     return run
 
 
+def _chunk_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
+    return frame.astype({"segment": "int32", "part": "int32", "line_start": "int32", "line_end": "int32", "elements": "int32"})
+
+
 def chunk_documents(elements: DataFrame, *, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of elements (file_id, elem_idx, type, level, text, line_start, line_end).
 
     Headings and tables break hard: a heading begins a segment, a table (cut if long) is one of its own. Within a segment a chunk ends
     when the next element would pass `most` or it has `target` characters; up to `overlap` characters of its last elements begin the
-    next. A paragraph is never cut. The fold runs by file and segment, so groups stay short.
+    next. A paragraph is never cut. The fold reads sorted rows and holds one segment.
     """
     e = heading_context(elements.select("file_id", "elem_idx", "type", "level", "text", "line_start", "line_end"))
     e = split_tables(e, most, target).withColumnRenamed("part", "piece")
@@ -89,7 +104,8 @@ def chunk_documents(elements: DataFrame, *, target: int = TARGET, most: int = MO
     spoken = F.col("type").isin("TRANSCRIPT_SEGMENT", "IMAGE_CAPTION")
     hard = heading | table | F.coalesce(F.lag(table).over(order), F.lit(False)) | spoken | F.coalesce(F.lag(spoken).over(order), F.lit(False))
     e = e.withColumn("hard", hard).withColumn("segment", F.count_if("hard").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    c = e.groupBy("file_id", "segment").applyInPandas(_fold(target, most, overlap), FOLDED)
+    folded = e.select("file_id", "segment", "elem_idx", "piece", "type", "text", "h1", "h2", "section", "line_start", "line_end")
+    c = folded.repartition("file_id").sortWithinPartitions("file_id", "segment", "elem_idx", "piece").mapInPandas(_fold(target, most, overlap), FOLDED)
     c = c.withColumn("chunk_index", F.row_number().over(W.partitionBy("file_id").orderBy("segment", "part")) - 1)
     c = c.withColumn("content_hash", T.content_hash(F.col("text")))
     return c.select("file_id", "chunk_index", T.chunk_id(F.col("file_id"), F.col("h1"), F.col("h2"), F.col("chunk_index"), F.col("content_hash")).alias("chunk_id"), "h1", "h2", "section", F.col("text").alias("content"), F.col("type").alias("content_type"), "content_hash", T.chunk_tokens(F.col("text")).alias("token_count"), "line_start", "line_end", "elements")

@@ -61,24 +61,31 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 10, ma
         queries = queries.withColumn("terms", F.transform(F.array_distinct(T.tokenize(F.col("query"))), lambda w: F.struct(F.array(w).alias("toks"), F.lit(False).alias("prefix"))))
     terms = queries.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("term_no", "t")).select("query_id", "n_terms", "term_no", F.col("t.toks").alias("toks"), F.col("t.prefix").alias("prefix"))
     fields = [f for f in FIELD_WEIGHTS if f in chunks.columns]
-    length = sum((F.size(T.tokenize(F.col(f))) for f in fields), F.lit(0))
-    words = chunks.select("chunk_id", length.alias("len"), F.inline(F.array(*[F.struct(F.lit(FIELD_WEIGHTS[f]).alias("weight"), T.tokenize(F.col(f)).alias("ws")) for f in fields])))
-    spots = words.select("chunk_id", "len", "weight", "ws", F.posexplode("ws").alias("pos", "word"))
-    single = small(terms.filter("size(toks) = 1").select("query_id", "n_terms", "term_no", "prefix", F.col("toks")[0].alias("key")))
-    plain = words.select("chunk_id", "len", "weight", F.explode("ws").alias("word")).groupBy("chunk_id", "len", "word").agg(F.sum("weight").alias("f"))
-    exact = plain.join(single.filter("not prefix"), F.col("word") == F.col("key"))
-    # words that begin alike meet by equal beginnings of the prefix's length: each term's key is compared with the vocabulary, not with the corpus
-    vocabulary = plain.select("word").distinct()
+    cut = chunks.select("chunk_id", F.array(*[F.struct(F.lit(FIELD_WEIGHTS[f]).alias("weight"), T.tokenize(F.col(f)).alias("ws")) for f in fields]).alias("fields"))
+    words = cut.select("chunk_id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["ws"])).alias("len"), F.inline("fields"))
+    single = terms.filter("size(toks) = 1").select("query_id", "n_terms", "term_no", "prefix", F.col("toks")[0].alias("key"))
+    columns = ["query_id", "n_terms", "term_no", "chunk_id", "len", "f"]
+
+    def frequencies(wanted: DataFrame) -> DataFrame:
+        """Weighted hits of the wanted words (word): others go before anything is shuffled."""
+        each = words.select("chunk_id", "len", "weight", F.explode("ws").alias("word"))
+        return each.join(small(wanted.select("word").distinct()), "word", "left_semi").groupBy("chunk_id", "len", "word").agg(F.sum("weight").alias("f"))
+
+    exact = single.filter("not prefix").withColumnRenamed("key", "word")
+    hits = frequencies(exact).join(small(exact), "word").select(*columns)
     starts = single.filter("prefix")
-    lengths = starts.select(F.length("key").alias("n")).distinct()
-    begun = vocabulary.join(F.broadcast(lengths), F.length("word") >= F.col("n")).withColumn("key", F.expr("left(word, n)")).join(starts, "key").select("query_id", "n_terms", "term_no", "key", "word")
-    prefixed = plain.join(small(begun), "word")
-    hits = exact.select("query_id", "n_terms", "term_no", "chunk_id", "len", "f").union(prefixed.select("query_id", "n_terms", "term_no", "chunk_id", "len", "f"))
+    if not starts.isEmpty():
+        # words that begin alike meet by equal beginnings of the prefix's length: each term's key is compared with the vocabulary, not with the corpus
+        vocabulary = words.select(F.explode("ws").alias("word")).distinct()
+        lengths = starts.select(F.length("key").alias("n")).distinct()
+        begun = vocabulary.join(F.broadcast(lengths), F.length("word") >= F.col("n")).withColumn("key", F.expr("left(word, n)")).join(small(starts), "key").select("query_id", "n_terms", "term_no", "word")
+        hits = hits.union(frequencies(begun).join(small(begun), "word").select(*columns))
     many = terms.filter("size(toks) > 1")
     if not many.isEmpty():
         many = small(many.withColumn("key", F.col("toks")[0]))
+        spots = words.select("chunk_id", "len", "weight", "ws", F.posexplode("ws").alias("pos", "word"))
         at = spots.join(many, F.col("word") == F.col("key")).filter(F.slice("ws", F.col("pos") + 1, F.size("toks")) == F.col("toks"))
-        hits = hits.union(at.select("query_id", "n_terms", "term_no", "chunk_id", "len", F.col("weight").alias("f")))
+        hits = hits.union(at.withColumn("f", F.col("weight")).select(*columns))
     hits = hits.groupBy("query_id", "n_terms", "term_no", "chunk_id", "len").agg(F.sum("f").alias("f"))
     df = hits.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("df"))
     whole = corpus_stats(chunks).withColumn("stat", F.struct("n", "avg_len")).select("stat").scalar()
