@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import materialize, small, table
 from corpusloom.llm.contamination import contaminated
 from corpusloom.llm.language_id import UNDETERMINED, identify_languages
 from corpusloom.llm.mixing import mix_sources
@@ -32,14 +32,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least id; one row of repeated rows."""
+    """Keeps of each group of near-duplicates the document with the least id; one row of repeated rows. Rows without an id stay."""
     gone = near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(small(materialize(gone, "duplicates")), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    leaks = materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    leaks = small(materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks"))
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
 
 
