@@ -4,8 +4,10 @@ For each language a suffix automaton of labelled text accepts every substring of
 left to right, into the longest phrases that the automaton accepts; the fewer phrases a language needs for a text, the
 smaller the cross-entropy. The count is normalised by the text's length, as the per-language samples have the same size.
 
-The automata are built from a bounded sample of labelled rows (sample_chars letters a language, at most max_languages), so
-they can be broadcast: at most 2 * sample_chars states a language, each with one transition per symbol. A text is reduced to
+The automata are built from a bounded sample of labelled rows (sample_chars characters a language), so they can be broadcast: at
+most 2 * sample_chars states and 3 * sample_chars arcs a language. All labelled languages are learned, and all letters of their
+samples are symbols. A language with few letters has a table of states and symbols, any other a sorted array of its arcs; if all
+of them are too large to be held at once, they are broadcast, loaded and scored in groups. A text is reduced to
 lower-case letters with one space between words. It is parsed whole, in segments of `segment` symbols, all segments of a
 batch in lockstep and for each language at once; a phrase ends at the end of its segment.
 """
@@ -13,6 +15,7 @@ batch in lockstep and for each language at once; a phrase ends at the end of its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,12 +24,12 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SPACE = 0
+GROUP_BYTES = 128 << 20  # of automata that a worker holds at once
+DRAWN_LANGUAGES = 256  # whose samples the driver collects at once
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transition table (states x symbols, -1 where there is none); every state accepts, state 0 is the start."""
-    most = 2 * len(symbols) + 2
-    step = np.full((most, n_symbols), -1, np.int32)
+def automaton_arcs(symbols: list[int]) -> list[dict[int, int]]:
+    """Symbol to next state, for each state of the suffix automaton; every state accepts, state 0 is the start."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -52,19 +55,28 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return nexts
+
+
+def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
+    """Transition table (states x symbols, -1 where there is none) of the suffix automaton."""
+    nexts = automaton_arcs(symbols)
+    step = np.full((len(nexts), n_symbols), -1, np.int32)
     for state, out in enumerate(nexts):
         for c, to in out.items():
             step[state, c] = to
-    return step[: len(nexts)]
+    return step
+
+
+@cache
+def _alphabetic() -> np.ndarray:
+    """1 for each code point that is a letter, else 0."""
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), np.uint32, 0x110000)
 
 
 def _classes(letters: str) -> np.ndarray:
     """Code point to symbol: 0 for what is no letter, 1 for letters not in the samples, then the letters. Upper case as lower case."""
-    table = np.zeros(0x110000, np.uint8)
-    for start in range(0, 0x110000, 0x1000):
-        for cp in range(start, start + 0x1000):
-            if chr(cp).isalpha():
-                table[cp] = 1
+    table = _alphabetic().copy()
     for i, ch in enumerate(letters, 2):
         table[ord(ch)] = i
     for ch in letters:
@@ -79,33 +91,81 @@ def to_symbols(text: str, table: np.ndarray) -> np.ndarray:
     s = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = s != SPACE
     if not keep.any():
-        return np.empty(0, np.uint8)
+        return np.empty(0, np.uint32)
     first = np.concatenate([[True], keep[:-1]])  # the first of what lies between words
     s = s[keep | first]
-    s = s if s[0] == SPACE else np.concatenate([np.zeros(1, np.uint8), s])
-    return s if s[-1] == SPACE else np.concatenate([s, np.zeros(1, np.uint8)])
+    s = s if s[0] == SPACE else np.concatenate([np.zeros(1, np.uint32), s])
+    return s if s[-1] == SPACE else np.concatenate([s, np.zeros(1, np.uint32)])
+
+
+def letters_of(text: str) -> set[str]:
+    return {ch for ch in text.lower() if ch.isalpha() and len(ch) == 1}
+
+
+def _table_bytes(text: str) -> int:
+    return 8 * (len(text) + 3) * (len(letters_of(text)) + 2)
+
+
+def _arc_bytes(text: str) -> int:
+    return 12 * 3 * (len(text) + 3)
+
+
+def groups(samples: dict[str, str], most_bytes: int = GROUP_BYTES) -> list[dict[str, str]]:
+    """samples in groups whose automata are about most_bytes at most, in the order of the languages."""
+    share, held, out = most_bytes // max(1, len(samples)), most_bytes, []
+    for lang in sorted(samples):
+        table, arcs = _table_bytes(samples[lang]), _arc_bytes(samples[lang])
+        size = table if table <= share else arcs
+        if held + size > most_bytes:
+            out.append({})
+            held = 0
+        out[-1][lang] = samples[lang]
+        held += size
+    return out or [{}]
+
+
+class Automaton:
+    """Suffix automaton of one language over the symbols of its own sample. A symbol that it hasn't is a phrase of its own, state `dead`."""
+
+    def __init__(self, symbols: np.ndarray, n_symbols: int, table: bool):
+        own = np.unique(symbols)
+        self.width = len(own) + 1
+        self.column = np.full(n_symbols, len(own), np.int64)  # of each symbol; the last for those it hasn't
+        self.column[own] = np.arange(len(own))
+        nexts = automaton_arcs(self.column[symbols].tolist())
+        dead = len(nexts)
+        self.again = np.full(self.width, dead, np.int32)  # where a phrase's first symbol leads
+        for c, to in nexts[0].items():
+            self.again[c] = to
+        n = sum(map(len, nexts))
+        arcs = np.fromiter((state * self.width + c for state, out in enumerate(nexts) for c in out), np.int64, n)
+        to = np.fromiter((t for out in nexts for t in out.values()), np.int32, n)
+        self.arcs = self.to = self.step = None
+        if table:
+            self.step = np.tile(~self.again, dead + 1)  # missing arcs lead to the arc from the start, marked by sign
+            self.step[arcs] = to
+        else:
+            order = np.argsort(arcs)
+            self.arcs, self.to = np.append(arcs[order], np.iinfo(np.int64).max), np.append(to[order], np.int32(0))
+
+    def next(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The next state, or ~ of it where a new phrase begins."""
+        arc = state * self.width + column
+        if self.step is not None:
+            return self.step[arc]
+        at = np.searchsorted(self.arcs, arc)
+        return np.where(self.arcs[at] == arc, self.to[at], ~self.again[column])
 
 
 class Model:
-    """Automata of all languages side by side in one transition table; missing arcs lead to the arc from the start, marked by sign."""
+    """Automata of some languages."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], table_bytes: int = GROUP_BYTES):
+        """table_bytes: the most that the transition table of one language may take, else it has sorted arcs."""
         self.languages = sorted(samples)
-        letters = "".join(sorted({ch for t in samples.values() for ch in t.lower() if ch.isalpha() and len(ch) == 1}))[:250]
-        self.letters, self.width = letters, len(letters) + 2
-        table = _classes(letters)
-        parts, self.starts, base = [], [], 0
-        for lang in self.languages:
-            step = suffix_automaton(to_symbols(samples[lang], table).tolist(), self.width)
-            dead = len(step)  # after a symbol that the sample hasn't, a phrase of its own: no arc leads on
-            step = np.vstack([step, np.full((1, self.width), -1, np.int32)])
-            again = np.where(step[0] < 0, dead, step[0]) + base
-            step = np.where(step < 0, ~again[None, :], step + base)
-            step[0] = again  # the start is left once, by the first phrase
-            parts.append(step)
-            self.starts.append(base)
-            base += len(step)
-        self.step = np.concatenate(parts).astype(np.int32).ravel() if parts else np.empty(0, np.int32)
+        self.letters = "".join(sorted(set().union(*map(letters_of, samples.values()))))
+        table = _classes(self.letters)
+        self.automata = [Automaton(to_symbols(samples[lang], table), len(self.letters) + 2, _table_bytes(samples[lang]) <= table_bytes) for lang in self.languages]
         self._table = None
 
     def __getstate__(self):
@@ -115,7 +175,7 @@ class Model:
         """Phrases needed (texts x languages), and symbols of each text."""
         if self._table is None:
             self._table = _classes(self.letters)
-        symbols = [to_symbols(t, self._table) if t else np.empty(0, np.uint8) for t in texts]
+        symbols = [to_symbols(t, self._table) if t else np.empty(0, np.uint32) for t in texts]
         size = np.array([len(s) for s in symbols])
         cuts = -(-size // segment)
         owner = np.repeat(np.arange(len(texts)), cuts)
@@ -128,14 +188,15 @@ class Model:
         order = np.argsort(-long, kind="stable")
         begin, long, owner = begin[order], long[order], owner[order]
         lanes = np.searchsorted(-long, -np.arange(1, segment + 1), side="right")  # how many segments have a symbol at that place
-        for i, start in enumerate(self.starts):
-            state = np.full(len(begin), start, np.int64)
+        for i, auto in enumerate(self.automata):
+            column = auto.column[flat]
+            state = auto.again[column[begin]].astype(np.int64)
             count = np.ones(len(begin), np.int64)
-            for place in range(segment):
+            for place in range(1, segment):
                 n = lanes[place]
                 if not n:
                     break
-                to = self.step[state[:n] * self.width + flat[begin[:n] + place]]
+                to = auto.next(state[:n], column[begin[:n] + place])
                 missing = to >> 31  # -1 or 0
                 count[:n] -= missing
                 state[:n] = to ^ missing
@@ -143,40 +204,50 @@ class Model:
         return need, size
 
 
-def training_sample(labelled: DataFrame, sample_chars: int, max_languages: int = 64) -> dict[str, str]:
+def training_sample(labelled: DataFrame, sample_chars: int) -> dict[str, str]:
     """Text of each language, of at most sample_chars characters. Rows are taken in the order of a hash of their id and text: about
-    as many of each language, by its count, as its share of characters needs."""
+    as many of each language, by its count, as its share of characters needs. Of many languages, so many at a time as the driver can collect."""
     rows = labelled.filter("lang is not null and text is not null").select("lang", "text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("rank"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest")).orderBy(F.desc("chars"), "lang").limit(max_languages)
-    cut = {r["lang"]: min(1.0, 3.0 * sample_chars / max(1, r["chars"])) for r in sizes.collect()}
-    if not cut:
-        return {}
-    # three times what is needed on average; the least rank of each language comes too, should the draw be empty
-    share = F.element_at(F.create_map(*[x for lang, s in cut.items() for x in (F.lit(lang), F.lit(s))]), F.col("lang"))
-    head = F.substring("text", 1, sample_chars).alias("text")
-    least = rows.groupBy("lang").agg(F.min_by(head, "rank").alias("text"), F.min("rank").alias("rank"))
-    drawn = rows.filter(F.col("lang").isin(list(cut)) & (F.col("rank") < share)).select("lang", head, "rank").union(least.select("lang", "text", "rank"))
+    chars = {r["lang"]: r["chars"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
     out: dict[str, str] = {}
-    for r in sorted(drawn.distinct().collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
-        if r["lang"] in cut and len(out.get(r["lang"], "")) < sample_chars:
-            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:sample_chars]
+    for start in range(0, len(chars), DRAWN_LANGUAGES):
+        # three times what is needed on average; the least rank of each language comes too, should the draw be empty
+        cut = {lang: min(1.0, 3.0 * sample_chars / max(1, chars[lang])) for lang in sorted(chars)[start : start + DRAWN_LANGUAGES]}
+        share = F.element_at(F.create_map(*[x for lang, s in cut.items() for x in (F.lit(lang), F.lit(s))]), F.col("lang"))
+        own = rows.filter(F.col("lang").isin(list(cut)))
+        head = F.substring("text", 1, sample_chars).alias("text")
+        least = own.groupBy("lang").agg(F.min_by(head, "rank").alias("text"), F.min("rank").alias("rank"))
+        drawn = own.filter(F.col("rank") < share).select("lang", head, "rank").union(least.select("lang", "text", "rank"))
+        for r in sorted(drawn.distinct().collect(), key=lambda r: (r["lang"], r["rank"], r["text"])):
+            if len(out.get(r["lang"], "")) < sample_chars:
+                out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:sample_chars]
     return {lang: t for lang, t in out.items() if any(ch.isalpha() for ch in t)}
 
 
-def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = 60_000, sharpness: float = 60.0) -> DataFrame:
+def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = 60_000, sharpness: float = 60.0, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs with lang_pred string, score double and phrase_rate double (phrases a symbol, of the best language) added; columns
     of docs with these names are replaced.
 
     Learns from text and lang of labelled only. score is the best language's share in exp(-sharpness * rate). A null text, one
     without letters, or an empty labelled table gives `und` and 0. Ties go to the language first in the alphabet. Long texts
-    are parsed whole. Repeated rows get equal results.
+    are parsed whole. Repeated rows get equal results. More automata than group_bytes are held and scored in groups.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Model(training_sample(labelled, sample_chars)))
+    samples = training_sample(labelled, sample_chars)
+    table_bytes = group_bytes // max(1, len(samples))
+    shared = [spark.sparkContext.broadcast(Model(g, table_bytes)) for g in groups(samples, group_bytes)]
+    languages = sorted(samples)
+
+    def phrases(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for s in shared:
+            found.append(s.value.phrases(texts))
+            if len(shared) > 1 and s._path:  # the next group takes its place; read again from the worker's file
+                del s._value
+        return np.hstack([need for need, _ in found]), found[0][1]
 
     @F.pandas_udf("lang_pred string, score double, phrase_rate double")
     def parse(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for texts in parts:
             found, start, texts = [], 0, texts.tolist()
             while start < len(texts):  # some millions of characters at a time
@@ -184,13 +255,13 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: in
                 while end < len(texts) and (chars < 2_000_000 or end == start):
                     chars += len(texts[end] or "")
                     end += 1
-                need, size = model.phrases(texts[start:end])
-                if model.languages:
+                need, size = phrases(texts[start:end])
+                if languages:
                     rate = need / np.maximum(size, 1)[:, None]
                     best = rate.argmin(axis=1)
                     low = rate.min(axis=1)
                     share = 1 / np.exp(-sharpness * (rate - low[:, None])).sum(axis=1)
-                    lang = np.array(model.languages, object)[best]
+                    lang = np.array(languages, object)[best]
                 else:
                     lang, share, low = np.full(end - start, UNDETERMINED, object), np.zeros(end - start), np.zeros(end - start)
                 none = size == 0

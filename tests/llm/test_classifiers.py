@@ -46,6 +46,42 @@ def test_phrases_by_brute_force():
     assert size.tolist() == [len(s), 0, 0]
 
 
+@pytest.mark.parametrize("table_bytes", [0, 1 << 30])
+def test_phrases_of_large_alphabets_by_brute_force(table_bytes):
+    rng = np.random.default_rng(3)
+    han, hangul = [chr(0x4E00 + i) for i in range(400)], [chr(0xAC00 + i) for i in range(400)]
+    say = lambda letters, n: "".join(rng.choice(letters + [" "] * 40, n))
+    samples = {"zh": say(han, 3000), "ja": say(han, 3000), "ko": say(hangul, 3000), "en": "plain words " * 20}
+    model = Model(samples, table_bytes)
+    texts = [samples["zh"][700:1000], samples["ja"][100:400] + "words", samples["ko"][-300:], say(han, 300)]
+    need, size = model.phrases(texts, segment=1000)
+    for t, text in enumerate(texts):
+        s = "".join(map(chr, to_symbols(text, model._table)))
+        assert size[t] == len(s)
+        for i, lang in enumerate(model.languages):
+            have = "".join(map(chr, to_symbols(samples[lang], model._table)))
+            count, at = 0, 0
+            while at < len(s):
+                n = 1
+                while at + n < len(s) and s[at : at + n + 1] in have:
+                    n += 1
+                count, at = count + 1, at + n
+            assert need[t, i] == count
+    assert [model.languages[i] for i in need[:3].argmin(axis=1)] == ["zh", "ja", "ko"]
+
+
+@pytest.mark.parametrize("group_bytes", [20_000, 128 << 20])
+def test_all_languages_are_learned(spark, group_bytes):
+    rng = np.random.default_rng(4)
+    alphabet = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{i:02}": ["".join(rng.choice(alphabet, 6)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang], 40)), lang) for i, lang in enumerate(words)]
+    new = [(100 + i, " ".join(rng.choice(words[lang], 8)), lang) for i, lang in enumerate(words)]
+    schema = "doc_id long, text string, lang string"
+    got = identify_languages(spark.createDataFrame(new, schema), spark.createDataFrame(rows, schema), group_bytes=group_bytes).collect()
+    assert all(r.lang == r.lang_pred and 0 < r.score <= 1 for r in got) and len(got) == 70
+
+
 def test_languages(spark, data):
     docs = table(spark, data, "documents").withColumn("held_out", fold("doc_id", 4, 2))
     got = identify_languages(docs.drop("lang"), docs.filter("not held_out")).join(docs.select("doc_id", "lang"), "doc_id")
