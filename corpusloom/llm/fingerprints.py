@@ -3,13 +3,15 @@
 A k-mer of code points is a closed syncmer if the least hash among its inner s-mers stands at its first or last place. That
 depends on the k-mer alone, not on its neighbours, so an edit elsewhere never changes which k-mers of an untouched passage
 are chosen; and among neighbouring k-mers one is always chosen within k - s places. The chosen k-mers, with their places, are
-the anchors of a text. Its fingerprint is a sketch of them: the `size` least distinct hashes, each with the place of its first
-occurrence in hundredths of the text, so that two fingerprints tell how much the texts share and whether it stands in order.
+the anchors of a text. Its fingerprint has all of them, in the order of their places, so it grows with the text. Two fingerprints
+are matched by place: what counts is the longest run of common anchors that stand in the same order in both.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import corpus_size, parts_for
 from corpusloom.llm.shingles import mix64
 
-K, S, SIZE = 16, 5, 64
+K, S = 16, 5
+YIELD_CHARS = 4_000_000  # of fingerprints in one frame
 
 
 def closed_syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -56,22 +59,73 @@ def closed_syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return places, mix64(codes)
 
 
-def fingerprint(text: str, size: int = SIZE) -> str:
-    """12 hex digits an anchor: 10 of the hash, 2 of the place (00 to 63: hundredths). Empty for an empty text."""
+def fingerprint(text: str) -> str:
+    """12 hex digits an anchor, in the order of places: 10 of the hash, 2 of the distance from the anchor before (of the first, from
+    the start; it is k - s at most). Empty for an empty text."""
     places, hashes = closed_syncmers(text)
-    top, first = np.unique(hashes >> np.uint64(24), return_index=True)
-    top, first = top[:size], first[:size]
-    where = places[first] * 100 // max(1, len(text))
-    return "".join(f"{h:010x}{p:02x}" for h, p in zip(top.tolist(), where.tolist(), strict=True))
-
-
-def likeness(a: str, b: str, size: int = SIZE) -> float:
-    """Share of common anchors among the `size` least of both (an estimate of the Jaccard similarity of the anchor sets); 1 for two empty fingerprints, 0 if one is."""
+    out = np.empty((len(places), 6), np.uint8)
+    out[:, :5] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5] = np.diff(places, prepend=0)
+    return out.tobytes().hex()
+
+
+def anchors(mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes of 40 bits) of a fingerprint."""
+    raw = np.frombuffer(bytes.fromhex(mark), np.uint8).reshape(-1, 6)
+    hashes = np.zeros((len(raw), 8), np.uint8)
+    hashes[:, 3:] = raw[:, :5]
+    return np.cumsum(raw[:, 5], dtype=np.int64), hashes.view(">u8").ravel().astype(np.int64)
+
+
+def in_order(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence: exact, repeated values too."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    head = int(differ[0]) if len(differ) else n
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    tail = int(differ[0]) if len(differ) else n
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    x, y = x[np.isin(x, y)].tolist(), y[np.isin(y, x)].tolist()
+    if not x or not y:
+        return head + tail
+    times = Counter(x)
+    where: dict[int, list[int]] = {}
+    if sum(times[v] for v in y) <= max(len(x), len(x) * len(y) // 256):  # few pairs: an increasing subsequence of their places
+        for i in range(len(x) - 1, -1, -1):
+            where.setdefault(x[i], []).append(i)
+        ends: list[int] = []
+        for v in y:
+            for i in where[v]:
+                if not ends or i > ends[-1]:
+                    ends.append(i)
+                else:
+                    ends[bisect_left(ends, i)] = i
+        return head + tail + len(ends)
+    masks: dict[int, int] = {}  # many: a row of the table in one number, bit by bit
+    for v in times:
+        where[v] = []
+    for i, v in enumerate(x):
+        where[v].append(i)
+    for v, at in where.items():
+        bits = np.zeros(at[-1] + 1, np.uint8)
+        bits[at] = 1
+        masks[v] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(x)) - 1
+    row = full
+    for v in y:
+        hit = row & masks[v]
+        row = ((row + hit) | (row - hit)) & full
+    return head + tail + len(x) - row.bit_count()
+
+
+def likeness(a: str, b: str) -> float:
+    """Share of the anchors of both that are matched in order (matched / (anchors of a + anchors of b - matched)); 1 for two empty fingerprints, 0 if one is."""
     if a == b:
         return 1.0
-    x, y = ({f[i : i + 10] for i in range(0, len(f), 12)} for f in (a, b))
-    low = sorted(x | y)[:size]
-    return sum(h in x and h in y for h in low) / len(low) if low else 1.0
+    both = in_order(anchors(a)[1], anchors(b)[1])
+    return both / (len(a) // 12 + len(b) // 12 - both)
 
 
 def _ranges(ids: DataFrame, parts: int) -> list[int]:
@@ -119,8 +173,14 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows by range, in each the own documents in order, then the first of the next range (more than once if rows repeat)."""
     held: tuple | None = None  # range, doc_id, text, fingerprint of the document that waits for its next
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        made["doc_id"] = made["doc_id"].astype("Int64")
+        return made
+
     for pdf in batches:
-        out = []
+        out, chars = [], 0
         for rng, extra, doc_id, text in zip(pdf["range"], pdf["extra"], pdf["doc_id"], pdf["text"], strict=True):
             if extra and (held is None or held[0] != rng):
                 continue  # a repeated row of the next range's first
@@ -131,7 +191,9 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 edited = own[: len(own) - take] + text[:take]
                 edited_mark = fingerprint(edited)
                 out.append((own_id, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
+                chars += len(own_mark) + len(edited_mark)
+                if chars > YIELD_CHARS:
+                    yield frame(out)
+                    out, chars = [], 0
             held = None if extra else (rng, doc_id, text, mark)
-        frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        yield frame(out)

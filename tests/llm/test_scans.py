@@ -3,12 +3,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import queries
 from corpusloom.llm.contamination import contaminated
-from corpusloom.llm.fingerprints import closed_syncmers, fingerprint, fingerprint_documents, likeness
+from corpusloom.llm.fingerprints import anchors, closed_syncmers, fingerprint, fingerprint_documents, in_order, likeness
 from corpusloom.llm.license_scan import PHRASES, scan_licenses
 from corpusloom.llm.mixing import mix_sources, poisson_count, source_rates
 
@@ -103,6 +104,35 @@ def test_fingerprints_against_brute_force(spark, prose_of):
         assert {r.doc_id: tuple(r)[1:] for r in fingerprint_documents(df, range_bytes=size).collect()} == want
 
 
+def test_fingerprints_keep_all_anchors(prose_of):
+    for text in (prose_of(1, 3000), "a", "é😀xyz" * 900, "x" * 5000):
+        places, hashes = closed_syncmers(text)
+        at, have = anchors(fingerprint(text))
+        assert at.tolist() == places.tolist() and have.tolist() == (hashes >> np.uint64(24)).tolist()
+
+
+def test_likeness_sees_passages_edits_and_order(prose_of):
+    a, b, shared = prose_of(1, 2000), prose_of(2, 2000), " ".join("".join(chr(97 + (i * i * 7 + j * 5 + i) % 26) for j in range(8)) for i in range(100))
+    cut = len(a) // 2
+    joined = likeness(fingerprint(a[:cut] + shared + a[cut:]), fingerprint(b + shared))
+    assert joined - likeness(fingerprint(a), fingerprint(b)) > 0.01
+    assert 0.9 < likeness(fingerprint(a), fingerprint(a[:cut] + "!" + a[cut + 1 :])) < 1
+    assert likeness(fingerprint(a), fingerprint(a[cut:] + a[:cut])) < 0.5
+
+
+def test_common_anchors_in_order_by_brute_force():
+    rng = np.random.default_rng(5)
+    for top, most in ((3, 60), (2000, 300), (40, 200)):
+        for _ in range(15):
+            x, y = (rng.integers(0, top, rng.integers(0, most)) for _ in range(2))
+            row = [0] * (len(y) + 1)
+            for v in x:
+                last = row[:]
+                for j, w in enumerate(y, 1):
+                    row[j] = last[j - 1] + 1 if v == w else max(last[j], row[j - 1])
+            assert in_order(x, y) == row[-1]
+
+
 def test_fingerprints_odd_rows(spark, odd_docs, no_docs):
     got = fingerprint_documents(odd_docs).collect()
     assert Counter(r.doc_id for r in got)[5] == 2 and len(got) == 12 and fingerprint_documents(no_docs).count() == 0
