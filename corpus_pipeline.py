@@ -40,9 +40,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = small(materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks"))
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    """Drops documents that hold a benchmark item. A row is known by its id and a hash of its text, so each row without an id, or with a repeated one, stands for itself."""
+    own = F.struct("doc_id", F.xxhash64("text").alias("key"))
+    found = contaminated(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = small(materialize(found.select("doc_id.doc_id", "doc_id.key").distinct(), "leaks"))
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]) & (F.xxhash64(docs["text"]) == leaks["key"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

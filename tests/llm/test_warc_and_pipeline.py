@@ -62,3 +62,13 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, data):
     for name, stage in corpus_pipeline.STAGES:
         assert name == "mixing" or stage(spark, docs, data).count() <= docs.count()
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def test_decontamination_judges_rows_without_an_id_one_by_one(spark, data, prose_of):
+    item = next(r.text for r in table(spark, data, "benchmark").collect() if len((r.text or "").split()) >= 20)
+    words = item.split()
+    half = len(words) // 2
+    texts = {"clean": prose_of(1, 80), "leak": f"{prose_of(2, 40)} {item}", "start": f"{prose_of(3, 40)} {' '.join(words[: half + 2])}", "end": f"{' '.join(words[half - 2 :])} {prose_of(4, 40)}"}
+    docs = spark.createDataFrame([(i, t, s) for i in (None, 5) for s, t in texts.items()] + [(None, None, "null")], "doc_id long, text string, source string")
+    kept = sorted((r.doc_id or 0, r.source) for r in corpus_pipeline.decontamination(spark, docs, data).collect())
+    assert kept == sorted([(i, s) for i in (0, 5) for s in ("clean", "start", "end")] + [(0, "null")])
