@@ -2,11 +2,14 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import lm_scoring
 from corpusloom.llm.common import fold
 from corpusloom.llm.lm_scoring import score_texts
+from corpusloom.llm.shingles import words
 
 
 def brute_force(rows, order, smoothing=0.9, decay=0.1):
@@ -76,3 +79,40 @@ def test_nothing_trained_on(odd_docs):
 
 def test_empty(no_docs):
     assert score_texts(no_docs.withColumn("held_out", F.lit(False))).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    ids = [2**63 - 1, 2**53 + 1, 2**53 + 3, None]
+    df = spark.createDataFrame([(i, f"text {n}", False) for n, i in enumerate(ids)], "doc_id long, text string, held_out boolean").coalesce(1)
+    assert {r.doc_id for r in score_texts(df).collect()} == set(ids)
+
+
+def test_segments_and_pieces_change_nothing(monkeypatch, prose_of):
+    texts = [prose_of(1, 1200), "", None, "A\x0bb  c\td ", "é　x \x1c", prose_of(2, 3), " "]
+    held = np.array([False, False, True, False, False, True, False])
+
+    def scores():
+        block = lm_scoring.Block(texts, 3, 50)
+        keys, counts = block.counts(~held)
+        assert (np.diff(keys.astype(np.int64)) > 0).all() and counts.sum() > 0
+        return [block.size.tolist(), lm_scoring.Automaton(block, counts.astype(float), 2000, 500, 0.9, 0.1).walk().round(9).tolist()]
+
+    want = scores()
+    assert want[0] == [len(words(t)) + 2 for t in texts]
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 7)
+    monkeypatch.setattr(lm_scoring, "PIECE", 100)
+    lm_scoring._piece_powers.cache_clear()
+    assert scores() == want
+    lm_scoring._piece_powers.cache_clear()
+
+
+def test_word_hashes():
+    h, n = lm_scoring.word_hashes([b"one Two", b"", b"two\x0cONE  one"])
+    assert n.tolist() == [2, 0, 3] and h[0] == h[3] == h[4] and h[1] == h[2] != h[0]
+
+
+def test_sort_places():
+    rng = np.random.default_rng(1)
+    keys = (rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(40)) | rng.integers(0, 8, 5000).astype(np.uint64) | np.uint64(1 << 63)
+    assert (np.diff(keys[lm_scoring.sort_places(keys)] - np.uint64(1 << 63)).astype(np.int64) >= 0).all()
+    assert lm_scoring.sort_places(np.array([5], np.uint64)).tolist() == [0]
