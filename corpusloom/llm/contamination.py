@@ -2,23 +2,24 @@
 
 Containment search by MinHash with the items' sizes as partitions. Jaccard similarity of a short item and a long document is
 tiny even if the item stands in it whole, so signatures aren't compared slot by slot; an item is represented by min-wise
-samples of its own shingles (anchors), and each anchor is looked up among all shingles of a document: it is found with a
-probability equal to the containment. Items are partitioned by the power of two of their size; each partition takes as many
-anchors as its sizes need to miss an item at the threshold with a probability of at most `miss`. A document that can't hold
-enough shingles for the item's size is no candidate. Candidates are verified by exact shingle containment.
+samples of its own shingles (anchors), and each anchor is looked up among all shingles of a document. Items are partitioned by
+the power of two of their size; all items of a partition take as many anchors as its largest size needs to be found for
+certain: a document with a share t of n shingles can lack at most n - ceil(t * n) of them, so one anchor more can't all be
+lacking. Documents that are too short for the item's size are no candidates. The candidates, pairs of a document and an item,
+are verified by exact containment of the item's whole set of shingles.
 
-Only DataFrame functions; the documents are read once. The hash join carries the items: they are broadcast while their
-shingle rows are at most `broadcast_rows`, else both sides are shuffled by hash.
+Only DataFrame functions. While the items' shingles are at most `broadcast_rows`, the anchors are broadcast and the documents
+are read once, each verified in the row where an anchor was found. Else anchors and documents' shingles are joined by hash,
+and the pairs found are joined with the documents again.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+DOCUMENT = ["doc_id", "text_key"]
 
 
 def content_words(text: str | Column) -> Column:
@@ -33,38 +34,54 @@ def _hashes(words: str, width: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _item_shingles(items: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """(item_id, item_size, hash, anchor): an item of fewer than five words is one shingle of all its words."""
+def _item_sets(items: DataFrame) -> DataFrame:
+    """(item_id, item_size, item_grams): distinct shingles by a hash rank; an item of fewer than five words is one shingle of all its words."""
     words = items.select("item_id", content_words("text").alias("words")).filter(F.size("words") > 0).distinct()
     by_width = F.when(F.size("words") >= SHINGLE, F.array_distinct(_hashes("words", SHINGLE)))
     for width in range(1, SHINGLE):
         by_width = by_width.when(F.size("words") == width, _hashes("words", width))
-    sized = words.select("item_id", F.array_sort(F.transform(by_width.otherwise(F.array().cast("array<bigint>")), lambda h: F.struct(F.xxhash64(h, F.lit("rank")).alias("rank"), h.alias("hash")))).alias("ranked"))
-    sized = sized.withColumn("item_size", F.size("ranked")).withColumn("part", F.floor(F.log2("item_size")))
-    need = math.ceil(math.log(miss) / math.log(1 - threshold)) if threshold < 1 else 1
-    anchors = F.least(F.pow(F.lit(2), F.col("part") + 1), F.lit(float(need)))  # a part's largest size, or what suffices
-    return sized.select("item_id", "item_size", F.posexplode("ranked").alias("place", "r"), anchors.alias("anchors")).select("item_id", "item_size", F.col("r.hash").alias("hash"), (F.col("place") < F.col("anchors")).alias("anchor"))
+    ranked = F.array_sort(F.transform(by_width.otherwise(F.array().cast("array<bigint>")), lambda h: F.struct(F.xxhash64(h, F.lit("rank")).alias("rank"), h.alias("hash"))))
+    return words.select("item_id", F.transform(ranked, lambda r: r["hash"]).alias("item_grams")).withColumn("item_size", F.size("item_grams"))
+
+
+def _anchors(sets: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, item_size, item_grams, hash): of each item the anchors that its size partition needs."""
+    largest = F.pow(F.lit(2), F.floor(F.log2("item_size")) + 1).cast("int") - 1
+    need = largest - F.ceil(F.lit(threshold) * largest).cast("int") + 1
+    return sets.select("*", F.explode(F.slice("item_grams", F.lit(1), F.least(need, F.col("item_size")))).alias("hash"))
+
+
+def _grams(short: bool) -> Column:
+    """Hashes of a document's shingles, from its words; of shorter runs too if there are short items. Always written out, never a column of its own: Spark
+    would put an exploded column into a filter, and there cut the words anew for every place."""
+    return F.concat(*[_hashes("words", w) for w in range(SHINGLE, 0, -1)]) if short else _hashes("words", SHINGLE)
+
+
+def candidates(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pairs that share an anchor, a pair once or more: doc_id, text_key, item_id, item_size, shared."""
+    sets = _item_sets(items.select("item_id", "text"))
+    rows, least = sets.agg(F.coalesce(F.sum("item_size"), F.lit(0)), F.min("item_size")).first()
+    grams = _grams(least == 1)
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), content_words("text").alias("words"))
+    anchors, enough = _anchors(sets, threshold), F.size("words") >= F.ceil(F.lit(threshold) * F.col("item_size"))
+    found = words.select("*", F.explode(grams).alias("hash"))
+    if rows <= broadcast_rows:
+        pairs = found.join(F.broadcast(anchors), "hash").filter(enough)
+    else:
+        met = found.join(anchors.drop("item_grams"), "hash").filter(enough).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item_id").distinct()
+        again = met.join(words, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
+        pairs = again.join(sets.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i")))
+    return pairs.select(*DOCUMENT, "item_id", "item_size", F.size(F.array_intersect("item_grams", grams)).cast("long").alias("shared"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, miss: float = 1e-6, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Pairs with containment of the item's distinct 5-word shingles in the document of at least threshold:
-    doc_id, item_id, item_shingles, shared, containment, anchors_hit.
+    doc_id, text_key, item_id, item_shingles, shared, containment.
 
     Words are lower-cased runs of letters and digits. An item of fewer than five words is one shingle of its length. Null and
-    wordless texts match nothing. Items with equal ids and words count once, other texts with
-    the same id are matched each on its own; rows of docs with an equal doc_id count as one
-    document, null ids too. Other columns are ignored. Empty tables give an empty result.
+    wordless texts match nothing. A document is told by its id and text_key, the xxhash64 of its text: rows equal in both are one
+    document, others with the same id, or with none, are judged each on its own; so are items. Other columns are
+    ignored. Empty tables give an empty result.
     """
-    wanted = _item_shingles(items.select("item_id", "text"), threshold, miss)
-    sizes = wanted.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.when(F.col("item_size") == 1, F.lit(1))))).first()
-    short = bool(sizes[1])  # only then are shorter runs of a document's words of any use
-    words = docs.select("doc_id", content_words("text").alias("words"))
-    grams = F.array_distinct(_hashes("words", SHINGLE))
-    if short:
-        grams = F.concat(grams, *[F.array_distinct(_hashes("words", w)) for w in range(1, SHINGLE)])
-    have = words.select("doc_id", F.size("words").alias("n_words"), F.explode(grams).alias("hash"))
-    if sizes[0] <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    hits = have.join(wanted, "hash").filter(F.col("n_words") >= F.ceil(threshold * F.col("item_size"))).select("doc_id", "item_id", "item_size", "hash", "anchor").distinct()
-    found = hits.groupBy("doc_id", "item_id", "item_size").agg(F.count(F.lit(1)).alias("shared"), F.count_if("anchor").alias("anchors_hit"))
-    return found.filter((F.col("anchors_hit") > 0) & (F.col("shared") >= F.lit(threshold) * F.col("item_size"))).select("doc_id", "item_id", F.col("item_size").cast("long").alias("item_shingles"), "shared", F.round(F.col("shared") / F.col("item_size"), 6).alias("containment"), "anchors_hit")
+    found = candidates(docs, items, threshold=threshold, broadcast_rows=broadcast_rows).distinct().withColumn("item_shingles", F.col("item_size").cast("long")).drop("item_size")
+    return found.filter(F.col("shared") >= F.lit(threshold) * F.col("item_shingles")).withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 6))

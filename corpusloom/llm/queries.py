@@ -49,7 +49,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("anchors_hit")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import queries
-from corpusloom.llm.contamination import contaminated
+from corpusloom.llm.contamination import candidates, contaminated
 from corpusloom.llm.fingerprints import anchors, closed_syncmers, fingerprint, fingerprint_documents, in_order, likeness
 from corpusloom.llm.license_scan import PHRASES, scan_licenses
 from corpusloom.llm.mixing import mix_sources, poisson_count, source_rates
@@ -43,8 +43,20 @@ def test_contamination_against_brute_force(spark, prose_of):
                     want.add((d, q, len(s), n))
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in got.collect()} == want and len(want) > 10
-    joined = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=0)
-    assert joined.count() == len(want)
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    joined = contaminated(*tables, broadcast_rows=0)
+    assert {(r.doc_id, r.item_id, r.item_shingles, r.shared) for r in joined.collect()} == want
+    met = {(r.doc_id, r.item_id) for r in candidates(*tables).select("doc_id", "item_id").collect()}
+    touched = {(d, q) for d, t in docs for q, it in items if item_shingles(t) & item_shingles(it)}
+    assert {(d, q) for d, q, *_ in want} <= met and len(met) < len(docs) * len(items) // 4 and (met - touched) <= {(100, 52)}
+
+
+def test_contamination_judges_each_text_alone(spark, prose_of):
+    w = prose_of(900, 40).split()
+    docs = spark.createDataFrame([(1, " ".join(w[:24])), (1, " ".join(w[16:])), (None, " ".join(w[:24])), (None, " ".join(w)), (2, " ".join(w)), (2, " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    for rows in (0, 1000):
+        assert sorted((r.doc_id or 0, r.shared) for r in contaminated(docs, items, broadcast_rows=rows).collect()) == [(0, 36), (2, 36)]
 
 
 def test_contamination_odd_rows(spark, odd_docs, no_docs):
