@@ -24,7 +24,6 @@ one's hash below 2 ** -18 at the corpus's size.
 from __future__ import annotations
 
 import math
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,53 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import corpus_size, materialize, parts_for, shuffle_partitions
-from corpusloom.llm.shingles import GOLDEN, mix64
+from corpusloom.llm.shingles import hash_texts, mix64
 
-PIECE = 1 << 20  # bytes of text hashed at once
 SEGMENT = 512  # tokens that a lane of the walk reads
 SPARE_BITS = 18
 BUCKET_GRAMS = 3 << 20  # n-grams that a bucket adds up at once
 START, END = mix64(np.array([1, 2], np.uint64))
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    """A random number for each byte, upper case as lower case; 0 for what parts words."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-    values[65:91] = values[97:123]
-    values[[32, *range(9, 14)]] = 0
-    return values
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-@cache
-def _piece_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(GOLDEN)
-    return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and how many words each text has. The hash of a word is a polynomial in its bytes,
-    modulo 2 ** 64, so differences of running sums give all words at once."""
-    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    size = PIECE * -(-len(data) // PIECE)
-    up, down = _piece_powers(size) if size <= 4 * PIECE else (_powers(int(GOLDEN), size), _powers(pow(int(GOLDEN), -1, 1 << 64), size))
-    value = _byte_values()[data]
-    space = value == 0
-    begin = np.flatnonzero(space[:-1] & ~space[1:])  # the place before a word
-    end = np.flatnonzero(~space[:-1] & space[1:])
-    value *= up[: len(value)]
-    running = np.cumsum(value, dtype=np.uint64)
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    words = np.searchsorted(begin, np.cumsum(length + 1)) - np.searchsorted(begin, np.cumsum(length + 1) - length - 1)
-    return mix64((running[end] - running[begin]) * down[begin]), words
-
-
 def sort_places(keys: np.ndarray) -> np.ndarray:
     """np.argsort: leading bits are sorted together with the place; the few that differ further down only are put right."""
     low = max(1, int(len(keys) - 1).bit_length())
@@ -116,23 +76,15 @@ class Block:
     """The tokens of a block of texts, each text between START and END, and the n-grams that end at each token."""
 
     def __init__(self, texts, order: int, bits: int):
-        encoded = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-        hashes, sizes, first, held = [], [], 0, 0
-        for i, t in enumerate(encoded):
-            held += len(t)
-            if held >= PIECE or i == len(encoded) - 1:
-                h, n = word_hashes(encoded[first : i + 1])
-                hashes.append(h)
-                sizes.append(n)
-                first, held = i + 1, 0
+        hashes, sizes = hash_texts(texts)
         self.order, self.bits = order, bits
-        self.size = np.concatenate(sizes) + 2  # with START and END
+        self.size = sizes + 2  # with START and END
         self.starts = np.cumsum(self.size) - self.size
         self.place = np.arange(self.size.sum()) - np.repeat(self.starts, self.size)
         token = np.empty(len(self.place), np.uint64)
         inner = np.ones(len(token), bool)
         inner[self.starts] = inner[self.starts + self.size - 1] = False
-        token[inner] = np.concatenate(hashes)
+        token[inner] = hashes
         token[self.starts], token[self.starts + self.size - 1] = START, END
         self.token = token
 

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, small
-from corpusloom.llm.shingles import GOLDEN, WordHashes, mix64, shingle_set, words
+from corpusloom.llm.shingles import GOLDEN, mix64, shingle_sets
 
 
 def super_minhash(values: np.ndarray, owner: np.ndarray, n_owners: int, m: int) -> np.ndarray:
@@ -63,31 +64,27 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _batches(pdf: pd.DataFrame, shingle_words: int, most: int = 300_000) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Rows with their shingle sets, so many at a time as have about `most` characters times eight."""
+    size = pdf["text"].str.len().fillna(0).to_numpy() // 8 + 1
+    cut = np.cumsum(size) // most
+    for c in np.unique(cut):
+        rows = slice(*np.searchsorted(cut, [c, c + 1]).tolist())
+        yield rows, shingle_sets(pdf["text"].iloc[rows], shingle_words)
+
+
+def _set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _signatures(shingle_words: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
-            start = 0
-            while start < len(pdf):  # sub-batches of bounded size
-                size, end = 0, start
-                hashes, sets = WordHashes(), []
-                while end < len(pdf) and (size < 300_000 or end == start):
-                    sets.append(s := shingle_set(words(pdf["text"].iat[end]), hashes, shingle_words))
-                    size += len(s)
-                    end += 1
+            for part, sets in _batches(pdf, shingle_words):
                 n = np.array([len(s) for s in sets])
                 sig = super_minhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets), bands * rows)
                 keys = band_keys(sig, bands)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].iloc[start:end].array,
-                        "n_shingles": n,
-                        "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                        "bands": [k if c else k[:0] for k, c in zip(keys, n, strict=True)],
-                    }
-                )
-                start = end
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part].array, "n_shingles": n, "set_key": [_set_key(s) for s in sets], "bands": [k if c else k[:0] for k, c in zip(keys, n, strict=True)]})
 
     return run
 
@@ -95,8 +92,8 @@ def _signatures(shingle_words: int, bands: int, rows: int):
 def _sets(shingle_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hashes = WordHashes()
-            yield pd.DataFrame({"node": pdf["doc_id"].array, "shingles": [shingle_set(words(t), hashes, shingle_words).tobytes() for t in pdf["text"]]})
+            for part, sets in _batches(pdf, shingle_words):
+                yield pd.DataFrame({"node": pdf["doc_id"].iloc[part].array, "set_key": [_set_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     return run
 
@@ -187,21 +184,25 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 7
 
     A link is 100 * |A and B| >= percent * |A or B| on distinct shingles of shingle_words words. With 32 bands of 4 rows a
     pair at 0.75 shares no band with probability 5e-6. Null and wordless texts have an empty set and link with nothing; a
-    shorter text is one shingle. Repeated rows are copies of each other. A row with a null doc_id is returned with a null
+    shorter text is one shingle. Repeated rows are copies of each other. Rows with one doc_id and different texts are one
+    document that is linked with all that any of its texts is linked with. A row with a null doc_id is returned with a null
     component and kept false. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
-    sig = materialize(docs.mapInPandas(_signatures(shingle_words, bands, rows), schema), "signatures")
+    # ids go through pandas as text: a long column with nulls would become doubles there
+    sig = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_signatures(shingle_words, bands, rows), "doc_id string, n_shingles long, set_key binary, bands array<long>")
+    sig = materialize(sig.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).filter("pivot.node <> last").select("key", "pivot")
     members = materialize(banded.join(shared, "key").select("key", "node", "n", "pivot"), "members")
-    nodes = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    sets = materialize(docs.join(small(nodes), "doc_id", "left_semi").mapInPandas(_sets(shingle_words), "node long, shingles binary"), "sets")
-    if sets.count() > nodes.count():  # repeated doc_ids: one text each will do, for rows that differ are no class of their own
-        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    met = small(materialize(members.select("node").distinct(), "met"))
+    nodes = materialize(classes.join(met, "node", "left_semi").select("node", "set_key"), "nodes")
+    of_nodes = docs.join(small(nodes.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    sets = materialize(of_nodes.mapInPandas(_sets(shingle_words), "node long, set_key binary, shingles binary"), "sets")
+    if sets.count() > nodes.count():  # repeated doc_ids: one row of each class will do
+        sets = materialize(sets.join(small(nodes), ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
@@ -213,6 +214,12 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 7
     first = members.filter(F.col("pivot.node") != F.col("node")).filter(fits("n", "pivot.n")).select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
     tested = materialize(first.distinct(), "pairs")
     links = confirmed(tested)
+    several = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
+    several = materialize(several, "several")
+    if not several.isEmpty():  # documents of several classes link these
+        mine = sig.join(small(several), "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+        least = mine.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.union(materialize(mine.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "own-links"))
     comps = connected_components(links)
     for turn in range(pivot_rounds + 1):
         here = members.select("key", "node", "n").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

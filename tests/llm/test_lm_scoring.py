@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lm_scoring
+from corpusloom.llm import lm_scoring, shingles
 from corpusloom.llm.common import fold
 from corpusloom.llm.lm_scoring import score_texts
-from corpusloom.llm.shingles import words
 
 
 def brute_force(rows, order, smoothing=0.9, decay=0.1):
@@ -98,16 +97,16 @@ def test_segments_and_pieces_change_nothing(monkeypatch, prose_of):
         return [block.size.tolist(), lm_scoring.Automaton(block, counts.astype(float), 2000, 500, 0.9, 0.1).walk().round(9).tolist()]
 
     want = scores()
-    assert want[0] == [len(words(t)) + 2 for t in texts]
+    assert want[0] == [len((t or "").encode().split()) + 2 for t in texts]
     monkeypatch.setattr(lm_scoring, "SEGMENT", 7)
-    monkeypatch.setattr(lm_scoring, "PIECE", 100)
-    lm_scoring._piece_powers.cache_clear()
+    monkeypatch.setattr(shingles, "PIECE", 100)
+    shingles._piece_powers.cache_clear()
     assert scores() == want
-    lm_scoring._piece_powers.cache_clear()
+    shingles._piece_powers.cache_clear()
 
 
 def test_word_hashes():
-    h, n = lm_scoring.word_hashes([b"one Two", b"", b"two\x0cONE  one"])
+    h, n = shingles.word_hashes([b"one Two", b"", b"two\x0cONE  one"])
     assert n.tolist() == [2, 0, 3] and h[0] == h[3] == h[4] and h[1] == h[2] != h[0]
 
 

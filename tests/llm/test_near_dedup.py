@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 
+from corpusloom.llm import shingles
 from corpusloom.llm.near_dedup import band_keys, connected_components, near_duplicates, super_minhash
-from corpusloom.llm.shingles import WordHashes, mix64, shingle_set, words
+from corpusloom.llm.shingles import mix64, shingle_sets
 
 
 def brute_force(docs):
@@ -78,10 +79,30 @@ def test_super_minhash_slots_of_a_single_element_are_a_permutation():
     assert band_keys(sig[None, :], 8).shape == (1, 8)
 
 
-def test_shingles():
-    assert len(shingle_set(words("a b c d e f"), WordHashes())) == 2
-    assert len(shingle_set(words("a b a b"), WordHashes())) == 1
-    assert words("ÀB\x0bc\x1cd") == ["Àb".encode(), b"c\x1cd"]
+def test_shingles(monkeypatch, prose_of):
+    texts = ["a b c d e f", "a b a b", "ÀB\x0bc\x1cd", "A  b\ta\nB ", None, "", " ", prose_of(1, 50), "x y z v w x y z v w x"]
+
+    def sizes():
+        return [len(s) for s in shingle_sets(texts)]
+
+    got = shingle_sets(texts)
+    assert sizes() == [2, 1, 1, 1, 0, 0, 0, 46, 5] and (got[1] == got[3]).all() and got[1] != got[2]
+    monkeypatch.setattr(shingles, "PIECE", 10)
+    assert [s.tolist() for s in shingle_sets(texts)] == [s.tolist() for s in got]
+
+
+def test_large_ids_beside_null(spark, prose_of):
+    a, b = prose_of(1, 30), prose_of(2, 30)
+    rows = [(2**53 + 1, a), (2**53 + 3, a), (2**63 - 1, b), (None, b)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(2**53 + 1, 2**53 + 1), (2**53 + 3, 2**53 + 1), (2**63 - 1, 2**63 - 1), (None, None)}
+
+
+def test_one_id_with_several_texts(spark, prose_of):
+    a, b, c = (prose_of(i, 30 + i) for i in (1, 2, 3))
+    rows = [(5, a), (5, b), (3, a + " more"), (7, b + " more"), (9, c), (9, a + " " + c[:1]), (11, c)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, 3) for d, _ in rows} and len(got) == 7
 
 
 def test_components_of_a_chain(spark):
