@@ -27,7 +27,7 @@ from corpusloom.llm.common import materialize, shared_dir
 
 MAGIC = 0x184D2A5D
 MANIFEST = "archive string, records long, bytes long"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+READ = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, offset long"
 
 
 def digest(payload: bytes) -> str:
@@ -54,33 +54,53 @@ def train_dictionary(pages: DataFrame, size: int = 64 << 10, max_records: int =
         return b"".join(samples)[:size] or b"WARC/1.1\r\nWARC-Type: response\r\n"
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, date: str) -> bytes:
-    """One record; a revisit has an empty block. The payload's digest and size are of the whole payload either way."""
-    kind = "response" if refers_to is None else "revisit"
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha1}')}>",
-        f"WARC-Date: {date}",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        f"WARC-Payload-Digest: sha1:{sha1}",
-        f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
-    ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    block = payload if refers_to is None else b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _record(fields: dict[str, str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _uri(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def warcinfo(name: str, date: str) -> bytes:
+    return _record({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(name), "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
+
+
+def build_record(name: str, page_id: str | None, url: str | None, payload: bytes | None, size: int, sha1: str, date: str, original: tuple[str, str | None, str | None] | None = None) -> bytes:
+    """A response, or, with an original (its record's name, page id and url), a revisit, whose block is empty. Digest and size are of the whole payload either way."""
+    fields = {
+        "WARC-Type": "response" if original is None else "revisit",
+        "WARC-Record-ID": record_id(name),
+        "WARC-Date": date,
+        "WARC-Target-URI": _uri(url),
+        "WARC-Payload-Digest": f"sha1:{sha1}",
+        "X-Page-ID": page_id or "",
+        "X-Payload-Length": str(size),
+    }
+    if original is not None:
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(original[0]), "WARC-Refers-To-Target-URI": _uri(original[2]), "WARC-Refers-To-Date": date, "X-Refers-To-Page-ID": original[1] or ""}
+    fields["Content-Type"] = "application/http; msgtype=response"
+    return _record(fields, b"" if original is not None else HTTP_HEAD.format(size).encode() + payload)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields, and of a response the payload, else the block."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
     fields = dict(x.partition(": ")[::2] for x in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else block
 
 
 def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int, date: str):
@@ -91,28 +111,38 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int, date
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        number, out, size, records = 0, None, 0, 0
+        number, out, size, records, name = 0, None, 0, 0, ""
 
         def close() -> pd.DataFrame:
             nonlocal out, number
             out.close()
-            name = f"part-{context.partitionId():06d}-{number:04d}.warc.zst"
             fs.move(f"{root}/{temporary}", f"{root}/{name}")
             out, number = None, number + 1
             return pd.DataFrame({"archive": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
 
+        def add(record: bytes) -> None:
+            nonlocal size
+            frame = packer.compress(record)
+            out.write(frame)
+            size += len(frame)
+
+        text = lambda x: x if isinstance(x, str) else None
         for pdf in batches:
-            for page_id, url, html, refers_to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
-                payload = html.encode("utf-8", "surrogatepass") if isinstance(html, str) else b""
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+            for page_id, url, html, key, length, kind, of_id, of_url in pdf.itertuples(index=False):
                 if out is None:
+                    name = f"part-{context.partitionId():06d}-{number:04d}.warc.zst"
                     temporary = f"_{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{root}/{temporary}", compression=None)
                     out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)
                     size, records = 8 + len(dictionary), 0
-                frame = packer.compress(build_record(page_id, url if isinstance(url, str) else None, payload, digest(payload), refers_to, date))
-                out.write(frame)
-                size, records = size + len(frame), records + 1
+                    add(warcinfo(f"{folder} {name}", date))
+                page_id, url, of_id, of_url = text(page_id), text(url), text(of_id), text(of_url)
+                sha1 = base64.b32encode(bytes.fromhex(key)).decode()
+                payload = html.encode("utf-8", "surrogatepass") if isinstance(html, str) else b""
+                original = (f"{sha1} {of_id} {of_url}", of_id, of_url) if kind == "revisit" else None
+                own = f"{sha1} {page_id} {url}" if kind == "response" else f"{folder} {name} {records}"
+                add(build_record(own, page_id, url, payload, int(length), sha1, date, original))
+                records += 1
                 if size >= archive_bytes:
                     yield close()
         if out is not None:
@@ -124,16 +154,27 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int, date
 def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, archive_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) into folder; returns the manifest: archive, records, bytes.
 
-    Payloads of fewer than least_bytes bytes are always responses. A null html is an empty payload. Rows with a null page_id
-    come last for the role of a response; of rows that are equal throughout, one is the response and the others refer to their
-    common id. Other columns are ignored.
+    Of rows with equal payloads that with the largest page_id is the response, of equal ids that with the largest url; of rows that
+    are equal in these too, one. A null page_id comes last; a revisit of a payload that has no other refers to null.
+    Payloads of fewer than least_bytes bytes are always responses. A null html is an empty payload. Other columns are ignored.
+
+    Rows with equal payloads are reduced to one, in each partition first, so a payload that many rows have is shuffled once a
+    partition at most; what is left of the others is their id, url, digest and size.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("key", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).withColumn("uid", F.monotonically_increasing_id())
-    repeats = rows.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("key").agg(F.max(F.struct("page_id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    # a unique payload needs no partner, and a small one isn't in the table of repeats
-    tied = rows.join(repeats, "key", "left").withColumn("refers_to", F.when(F.col("uid") != F.col("first.uid"), F.coalesce("first.page_id", F.lit(-1))))
-    dictionary = train_dictionary(pages)
-    return materialize(tied.select("page_id", "url", "html", "refers_to").mapInPandas(_writer(folder, dictionary, archive_bytes, level, date), MANIFEST), "warc-manifest")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("key"), F.octet_length(payload).alias("length"))
+    none, large = F.lit(None).cast("string"), F.col("length") >= least_bytes
+    page_id = F.col("page_id").cast("string").alias("page_id")  # pandas would make doubles of longs with nulls
+    first = rows.filter(large).groupBy("key", "length").agg(F.max(F.struct("page_id", "url", "html")).alias("r")).select("key", "length", "r.*")
+    responses = first.select(page_id, "url", "html", "key", "length", F.lit("response").alias("kind"), none.alias("of_id"), none.alias("of_url"))
+    small = rows.filter(~large).select(page_id, "url", "html", "key", "length", F.lit("small").alias("kind"), none.alias("of_id"), none.alias("of_url"))
+    light = rows.filter(large).groupBy("key", "page_id", "url", "length").agg(F.count(F.lit(1)).alias("times"))
+    to = light.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("of")).select("key", F.col("of.page_id").alias("of_id"), F.col("of.url").alias("of_url"))
+    itself = F.col("page_id").eqNullSafe(F.col("of_id")) & F.col("url").eqNullSafe(F.col("of_url"))
+    again = light.join(to, "key").withColumn("times", F.col("times") - itself.cast("int")).filter("times > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    revisits = again.select(page_id, "url", none.alias("html"), "key", "length", F.lit("revisit").alias("kind"), F.col("of_id").cast("string").alias("of_id"), "of_url")
+    written = responses.union(small).union(revisits)
+    return materialize(written.mapInPandas(_writer(folder, train_dictionary(pages), archive_bytes, level, date), MANIFEST), "warc-manifest")
 
 
 def read_records(fs, path: str) -> Iterator[tuple[int, bytes]]:
@@ -162,7 +203,8 @@ def read_records(fs, path: str) -> Iterator[tuple[int, bytes]]:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Records of all archives in the manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, offset. Digests of responses are computed from the payload read."""
+    """Records of all archives in the manifest but warcinfo: page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive, offset. Digests of responses are computed from the payload read."""
+    columns = [c.split()[0] for c in READ.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,22 +213,20 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 fs, path = _open(archive)
                 for offset, data in read_records(fs, path):
                     fields, payload = parse_record(data)
-                    response = fields["WARC-Type"] == "response"
-                    number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
-                    size = len(payload) if response else int(fields["X-Payload-Length"])
-                    sha1 = digest(payload) if response else fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    rows.append((number("X-Page-ID"), fields["WARC-Target-URI"], size, sha1, fields["WARC-Type"], number("X-Refers-To-Page-ID"), archive, offset))
+                    kind = fields["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    size = len(payload) if kind == "response" else int(fields["X-Payload-Length"])
+                    sha1 = digest(payload) if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    rows.append((fields["X-Page-ID"] or None, fields["WARC-Target-URI"], size, sha1, kind, fields.get("X-Refers-To-Page-ID") or None, archive, offset))
                     if len(rows) >= 5000:
-                        yield _frame(rows)
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
-                yield _frame(rows)
+                yield pd.DataFrame(rows, columns=columns)
 
     parts = max(1, manifest.count())
-    return manifest.select("archive").repartition(parts, "archive").mapInPandas(run, RECORDS)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    found = manifest.select("archive").repartition(parts, "archive").mapInPandas(run, READ)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive_folder(spark: SparkSession) -> str:

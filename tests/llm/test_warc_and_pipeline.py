@@ -23,15 +23,27 @@ def test_round_trip(spark):
     assert kinds[7] == [("response", None), ("revisit", 7)] and kinds[None] == [("response", None)]
     archive = manifest.first().archive
     fs, path = _open(archive)
-    assert all(parse_record(data)[0]["X-Payload-Length"].isdigit() for _, data in read_records(fs, path))
+    records = [parse_record(data)[0] for _, data in read_records(fs, path)]
+    assert records[0]["WARC-Type"] == "warcinfo" and all(f["X-Payload-Length"].isdigit() for f in records[1:]) and len(records) > 1
     assert write_archives(pages.limit(0), archive_folder(spark)).count() == 0
     small = {r.record_type for r in read_archives(spark, write_archives(pages, archive_folder(spark), least_bytes=20)).filter("payload_bytes < 20").collect()}
     assert small == {"response"}
 
 
 def test_record():
-    fields, payload = parse_record(build_record(1, "u", b"a\r\n\r\nb", "S", None, "d"))
+    fields, payload = parse_record(build_record("n", "1", "u", b"a\r\n\r\nb", 6, "S", "d"))
     assert payload == b"a\r\n\r\nb" and fields["WARC-Type"] == "response"
+    again, block = parse_record(build_record("m", "2", None, None, 6, "S", "d", ("n", "1", "u")))
+    assert again["WARC-Refers-To"] == fields["WARC-Record-ID"] != again["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "u" and block == b""
+
+
+def test_large_ids_beside_null(spark):
+    rows = [(2**53 + 1, "a", "x"), (2**53 + 3, "a", "x"), (2**63 - 1, "a", "y"), (None, "a", "y"), (None, "a", "z"), (None, "b", "z"), (2**53 + 1, "a", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.payload_digest, r.page_id or 0, r.url, r.record_type, r.refers_to) for r in read_archives(spark, write_archives(pages, archive_folder(spark))).collect())
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(sha("x"), 2**53 + 1, "a", "revisit", 2**53 + 3)] * 2 + [(sha("x"), 2**53 + 3, "a", "response", None), (sha("y"), 0, "a", "revisit", 2**63 - 1), (sha("y"), 2**63 - 1, "a", "response", None), (sha("z"), 0, "a", "revisit", None), (sha("z"), 0, "b", "response", None)]
+    assert got == sorted(want)
 
 
 def test_query_covers_every_page(spark, data):
