@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own temporary one only where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own temporary one only where that is unset and the master is local."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         path = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="corpusloom-"))
     return path.rstrip("/")
 
@@ -32,6 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *taken: DataFrame) -> str:
+    """name, lengthened until none of the tables has such a column, in any case."""
+    have = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

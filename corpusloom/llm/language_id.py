@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import fresh
+
 UNDETERMINED = "und"
 SPACE = 0
 GROUP_BYTES = 128 << 20  # of automata that a worker holds at once
@@ -272,4 +274,5 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: in
 
     names = {"lang_pred", "score", "phrase_rate"}
     kept: list[Column] = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, parse("text").alias("__p")).select(*kept, "__p.lang_pred", "__p.score", "__p.phrase_rate")
+    p = fresh("parsed", docs)
+    return docs.select(*kept, parse("text").alias(p)).select(*kept, f"{p}.lang_pred", f"{p}.score", f"{p}.phrase_rate")

@@ -24,7 +24,7 @@ def odd_docs(spark):
         (1, None, "en", "s0"), (2, "", "en", "s0"), (3, " \n\t ", None, "s1"), (4, "word", "en", None), (5, a, "en", "s0"), (5, a, "en", "s0"),
         (6, a, "fr", "s0"), (7, b, "fr", "s1"), (None, a, "en", "s0"), (8, a + " more words", "en", "s0"), (9, "!!! 123 ???", "de", "s2"), (10, "Ünïcödé \U0001f600 text", "de", "s2"),
     ]
-    extra = ["score", "rank", "node", "block", "key", "n", "copy", "rate", "range", "held_out_", "words", "lang_pred", "p_toxic", "item_id", "hash", "text_key", "_order", "comp", "copies", "phrase_rate", "predicted", "to"]
+    extra = ["score", "rank", "node", "block", "key", "n", "copy", "rate", "range", "held_out_", "words", "lang_pred", "p_toxic", "item_id", "hash", "text_key", "_order", "comp", "copies", "phrase_rate", "predicted", "to", "parsed", "own_source", "own_rate", "__p", "__rate"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
     return spark.createDataFrame([(*r, len(r[1] or ""), *["x"] * len(extra)) for r in rows], schema)
 
