@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import draw, materialize
+from corpusloom.llm.common import draw, fresh, materialize
 
 WORD = regex.compile(r"\p{L}+")
 PREFIXES = (4, 5, 6)
@@ -41,7 +41,7 @@ def markers_of(text: str | None) -> set[str]:
     return found
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 15) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
     """Weights, the last for the intercept: Newton's method on the penalised likelihood. Equal rows, most of which have no marker at all, count as one with a weight."""
     mark = np.column_stack([x, y]) @ np.random.default_rng(0).random(x.shape[1] + 1)  # equal for equal rows
     _, first, at = np.unique(mark, return_index=True, return_inverse=True)
@@ -56,7 +56,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 15) ->
         hess = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         move = np.linalg.solve(hess, grad)
         w -= move
-        if np.abs(move).max() < 1e-4:
+        if np.abs(move).max() < 1e-6:
             break
     return w
 
@@ -171,20 +171,23 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, categories: list[str],
         return pd.DataFrame(shared.value.predict_texts(texts.tolist()), columns=names)
 
     kept = [F.col(c) for c in docs.columns if c not in names]
-    return docs.select(*kept, predict("text").alias("__p")).select(*kept, *[F.col("__p")[n].alias(n) for n in names])
-
-
-def category_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """doc_id, text, and the categories that a single toxic column gives, of about max_rows labelled documents at most: toxic
-    as labelled; low_quality, as the labels know texts that are no prose; toxic_long, toxic in a text of over 200 words.
-    Several labels of a document count as its worst."""
-    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    p = fresh("predicted", docs)
+    return docs.select(*kept, predict("text").alias(p)).select(*kept, *[F.col(p)[n].alias(n) for n in names])
+
+
+def category_labels(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, max_rows: int = 20_000) -> DataFrame:
+    """doc_id, text and the categories, of about max_rows labelled documents at most. labels has doc_id and a 0/1 column a category; of
+    several labels of a document the largest counts. Without such columns named, the categories are those of a table of quality and
+    toxic: low_quality, what the labels know as no prose (1 - quality), whose probability the chain feeds to that of toxic.
+    Equal rows count once."""
+    values = [F.col(c) for c in categories] if categories else [(1 - F.col("quality")).alias("low_quality"), F.col("toxic")]
+    marked = labels.filter("doc_id is not null").select("doc_id", *values)
+    marked = marked.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in marked.columns[1:]])
     rows = docs.select("doc_id", "text").join(F.broadcast(draw(marked, max_rows)), "doc_id")
-    long = F.size(F.split(F.coalesce("text", F.lit("")), " ")) > 200
-    return rows.select("doc_id", "text", (1 - F.col("quality")).alias("low_quality"), "toxic", (F.col("toxic") * long.cast("int")).alias("toxic_long"))
+    return rows.distinct().limit(4 * max_rows)
 
 
-CATEGORIES = ["low_quality", "toxic", "toxic_long"]
+CATEGORIES = ["low_quality", "toxic"]
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
