@@ -141,7 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000)
     good = F.broadcast(draw(marked.filter("quality = 1"), max_rows).select("doc_id", F.lit(True).alias("good")))
     total = docs.count()
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / max(1, total)))
-    rows = docs.select("doc_id", "text", drawn.alias("drawn")).join(good, "doc_id", "left").filter("drawn or good")
+    rows = docs.select("doc_id", "text", drawn.alias("drawn")).join(good, "doc_id", "left").filter("drawn or good").distinct().limit(6 * max_rows)  # equal rows count once
     rows = materialize(rows.withColumn("good", F.coalesce("good", F.lit(False))), "quality-sample")
     unlabelled, positive = _features_of(rows.filter("drawn")), _features_of(rows.filter("good"))
     if not len(unlabelled) or not len(positive):
