@@ -11,10 +11,12 @@ Only DataFrame functions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shuffle_partitions
+from corpusloom.llm.common import fresh, materialize, shuffle_partitions
 
 STEP = 16.0  # a mean above is split, as e ** -mean must not vanish
 MOST_SOURCES = 200_000  # the rates of so many are broadcast; of more, joined by shuffling
@@ -40,7 +42,7 @@ def poisson_count(mean: Column, *key: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, mean: float = 1.0) -> DataFrame:
-    """(source, rate): the mean repetition of each source's documents, such that all of them together keep mean times their
+    """(source, chars, rate): the mean repetition of each source's documents, such that all of them together keep mean times their
     characters. Target shares are in proportion to weights (0 for sources not named), or, without weights, to each source's
     characters to the given power. One row a source."""
     sizes = docs.groupBy("source").agg(F.sum(F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))).cast("double").alias("chars"))
@@ -50,22 +52,27 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
         want = F.coalesce(F.element_at(F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]), F.col("source")), F.lit(0.0))
     sizes = sizes.withColumn("want", want)
     total = sizes.agg(F.struct(F.sum("chars").alias("chars"), F.sum("want").alias("want"))).scalar()
-    return sizes.select("source", F.round(mean * F.col("want") / total["want"] * total["chars"] / F.col("chars"), 6).alias("rate"))
+    return sizes.select("source", "chars", F.round(mean * F.col("want") / total["want"] * total["chars"] / F.col("chars"), 6).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, power: float = 0.5, mean: float = 1.0, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, power: float = 0.5, mean: float = 1.0, seed: int = 7, part_chars: int = 64 << 20) -> DataFrame:
     """docs with each row repeated by its count, and columns copy (from 1) and rate added, in shuffled order.
 
-    Rows with a null source form a source of their own; with weights they need the weight of none, so are left out. Repeated
-    rows have the same id and so the same count. A null text counts as one character of its source. Columns named copy or rate
-    are replaced.
+    Rows with a null source form a source of their own; with weights they need the weight of none, so are left out. Rows with equal
+    ids get the same count; rows without an id draw by their text. A null text counts as one character of its source. Columns named
+    copy or rate are replaced, others kept, whatever their names. The result has a partition for each part_chars characters or more.
     """
     kept = [c for c in docs.columns if c not in ("copy", "rate")]
-    rates = source_rates(docs, weights, power, mean).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    if docs.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+    rates = materialize(source_rates(docs, weights, power, mean), "source-rates")
+    sources, chars = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("chars") * F.col("rate")), F.lit(0.0))).first()
+    own, rate, copies = (fresh(name, docs) for name in ("own_source", "own_rate", "copies"))
+    rates = rates.select(F.col("source").alias(own), F.col("rate").alias(rate))
+    if sources <= MOST_SOURCES:
         rates = F.broadcast(rates)
-    rated = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    counted = rated.withColumn("__copies", poisson_count(F.col("__rate"), F.col("doc_id"), F.lit(seed))).filter("__copies > 0")
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"), F.col("__rate").alias("rate"))
-    order = F.xxhash64("doc_id", "copy", F.lit(seed))
-    return copies.repartition(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rated = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col(own)))
+    counted = rated.withColumn(copies, poisson_count(F.col(rate), key, F.lit(seed))).filter(F.col(copies) > 0)
+    out = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col(copies))).alias("copy"), F.col(rate).alias("rate"))
+    order = F.xxhash64(key, "copy", F.lit(seed))
+    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(chars / part_chars))
+    return out.repartition(parts, order).sortWithinPartitions(order)
