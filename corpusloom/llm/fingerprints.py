@@ -24,6 +24,7 @@ from corpusloom.llm.shingles import mix64
 
 K, S = 16, 5
 YIELD_CHARS = 4_000_000  # of fingerprints in one frame
+MOST_RANGES = 20_000  # of ids; what the driver knows is one row a range. A range is read in order, so its size is no matter of memory
 
 
 def closed_syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +141,13 @@ def fingerprint_documents(docs: DataFrame, *, range_bytes: int = 12 << 20) -> Da
     by ascending doc_id (null first; equal ids by text), after the last the first; of a single document that is itself. A null
     text counts as empty.
 
-    Ids are cut into ranges of about equal counts. A document goes to its range and, if it is the first of one, also to the
+    Ids are cut into ranges of about equal counts, MOST_RANGES at most. A document goes to its range and, if it is the first of one, also to the
     range before, so every range can find the next of each of its documents; a range is read in order, holding two texts.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     count, size = corpus_size(rows)
-    cuts = _ranges(rows.select("doc_id"), min(parts_for(spark, size, range_bytes), max(1, count)))
+    cuts = _ranges(rows.select("doc_id"), min(parts_for(spark, size, range_bytes), max(1, count), MOST_RANGES))
     shared = spark.sparkContext.broadcast(np.array(cuts, np.float64))  # one number a range
 
     @F.pandas_udf("int")
@@ -159,15 +160,17 @@ def fingerprint_documents(docs: DataFrame, *, range_bytes: int = 12 << 20) -> Da
     order = sorted(firsts)
     before = {order[i]: order[i - 1] for i in range(len(order))}  # of the first range: the last
     if not order:
-        return spark.createDataFrame([], OUT)
+        return spark.createDataFrame([], OUT.replace("doc_id string", "doc_id long"))
     heads = spark.createDataFrame([(r, before[r], firsts[r]["doc_id"], firsts[r]["key"]) for r in order], "range int, before int, first_id long, first_key string")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.sha2("text", 256) == F.col("first_key"))
     both = ranged.join(F.broadcast(heads), "range").withColumn("to", F.when(is_first, F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("extra")))))
     sent = both.select("doc_id", "text", F.inline("to"))
-    return sent.repartition(len(order), "range").sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), F.sha2("text", 256)).mapInPandas(_walk, OUT)
+    walked = sent.repartitionById(max(order) + 1, F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
+    walked = walked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_walk, OUT)  # pandas would make doubles of longs with nulls
+    return walked.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,9 +178,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: tuple | None = None  # range, doc_id, text, fingerprint of the document that waits for its next
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        return made
+        return pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     for pdf in batches:
         out, chars = [], 0

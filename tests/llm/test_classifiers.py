@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +154,84 @@ def test_chain_feeds_earlier_probabilities():
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][3] > 0
     assert ((chain.predict(x) >= 0.5) == y).all()
     assert fit_logistic(x, np.zeros(400), 0.1)[-1] < -2
+
+
+def plain_chain(texts, labels, new, ridge=0.05, min_texts=5, folds_of=None, folds=5):
+    """Toxicity as the operator defines it, without Spark: markers by a signed likelihood ratio, and each category's ridge regression by plain gradient steps."""
+    def marks(t):
+        out = set()
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
+            out |= {"=" + w} | {w[:n] for n in (4, 5, 6) if len(w) > n}
+        return out
+
+    sets, total = [marks(t) for t in texts], len(texts)
+    seen = Counter(m for s in sets for m in s)
+    strength = {}
+    for c in range(labels.shape[1]):
+        share = min(max(labels[:, c].mean(), 1e-9), 1 - 1e-9)
+        for m, n in seen.items():
+            if n >= min_texts:
+                k = sum(int(labels[i, c]) for i in range(total) if m in sets[i])
+                gain = k * math.log((k + 0.5) / ((n + 1) * share)) + (n - k) * math.log((n - k + 0.5) / ((n + 1) * (1 - share)))
+                strength[m] = max(strength.get(m, 0.0), gain if k > n * share else gain / 4)
+    chosen = sorted((m for m, s in strength.items() if s > 12), key=lambda m: (-strength[m], m))[:400]
+    table_ = lambda ss: np.array([[float(m in s) for m in chosen] for s in ss]).reshape(len(ss), len(chosen))
+
+    def fit(x, y):
+        x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+        for _ in range(40_000):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= (x.T @ (p - y) + np.append(np.full(len(w) - 1, ridge), 1e-3) * w) * 4 / (len(x) * x.shape[1])
+        return w
+
+    say = lambda x, w: 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    x, z, out = table_(sets), table_([marks(t) for t in new]), []
+    for c in range(labels.shape[1]):
+        y = labels[:, c].astype(float)
+        out.append(say(z, fit(x, y)))
+        ahead = np.zeros(total)
+        for f in range(folds):
+            if (folds_of == f).any():
+                ahead[folds_of == f] = say(x[folds_of == f], fit(x[folds_of != f], y[folds_of != f]))
+        x, z = np.column_stack([x, ahead]), np.column_stack([z, out[-1]])
+    return np.array(out).T
+
+
+def test_chain_against_brute_force(spark, labelled):
+    docs, labels = labelled
+    marked = category_labels(docs, labels.filter("doc_id < 80").withColumn("quality", (F.col("doc_id") % 3 > 0).cast("int")))
+    rows = marked.withColumn("fold", F.pmod(F.xxhash64("doc_id", "text"), F.lit(5))).collect()
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in score_toxicity(docs, marked, CATEGORIES).collect()}
+    new = docs.collect()
+    want = plain_chain([r.text for r in rows], np.array([[r.low_quality, r.toxic] for r in rows]), [r.text for r in new], folds_of=np.array([r.fold for r in rows]))
+    assert np.abs(np.array([got[r.doc_id] for r in new]) - want).max() < 0.01
+
+
+def test_quality_against_brute_force(spark, data):
+    """The scores are a linear model's that lowers the non-negative risk, written out here anew, over all rows."""
+    docs, labels = table(spark, data, "documents").select("doc_id", "text"), table(spark, data, "labels").select("doc_id", "quality")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rank")).orderBy("rank").collect()
+    x = features([r.text for r in rows])
+    good = x[[marks.get(r.doc_id) == 1 for r in rows]]
+    prior = sum(marks.values()) / len(marks)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-4] = 1
+    z = lambda m: np.column_stack([np.clip((m - mean) / scale, -8, 8), np.ones(len(m))])
+    p, u = z(good), z(x)
+
+    def risk(w):
+        loss = lambda m: np.logaddexp(0, m)
+        positive, negative = prior * loss(-(p @ w)).mean(), loss(u @ w).mean() - prior * loss(p @ w).mean()
+        return positive + max(negative, 0.0)
+
+    got = score_quality(docs, labels).collect()
+    s = {r.doc_id: r.score for r in got}
+    logit = np.array([math.log(s[r.doc_id] / (1 - s[r.doc_id])) for r in rows])
+    inside = np.abs(logit) < 20
+    w, *_ = np.linalg.lstsq(u[inside], logit[inside], rcond=None)
+    assert np.abs(u[inside] @ w - logit[inside]).max() < 1e-3  # a linear model of the features
+    assert risk(w) < risk(np.zeros(len(w))) / 3
+    step = np.eye(len(w)) * 1e-5
+    slope = np.array([(risk(w * 0.5 + d) - risk(w * 0.5 - d)) / 2e-5 for d in step])
+    assert slope @ w < 0  # half-way to the weights found the risk still falls towards them

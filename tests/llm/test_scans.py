@@ -177,3 +177,48 @@ def test_sql(name, spark, duck, data):
     df = queries.QUERIES[name](spark, data)
     rel = duck.sql(queries.ORACLES[name])
     assert sorted(map(repr, map(tuple, df.select(*rel.columns).collect()))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_choice_of_syncmers_by_brute_force():
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def value(s):
+        h = len(s)
+        for ch in s:
+            h = (h * 0x9E3779B97F4A7C15 + ord(ch)) & mask
+        return mixed(h)
+
+    text = "The quick brown fox jumps over the lazy dog, naïve \U0001f600 and the quick brown fox again and again."
+    for k, s in ((16, 5), (9, 3)):
+        chosen = []
+        for i in range(len(text) - k + 1):
+            inner = [value(text[i + j : i + j + s]) for j in range(k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                chosen.append((i, value(text[i : i + k])))
+        places, hashes = closed_syncmers(text, k, s)
+        assert list(zip(places.tolist(), hashes.tolist(), strict=True)) == chosen and chosen
+
+
+def test_shuffled_blocks_are_less_alike(prose_of):
+    w = prose_of(31, 400).split()
+    blocks = [" ".join(w[i : i + 20]) for i in range(0, 400, 20)]
+    mixed = [blocks[i * 7 % 20] for i in range(20)]
+    assert likeness(fingerprint(" ".join(blocks)), fingerprint(" ".join(mixed))) < 0.35
+    assert likeness(fingerprint(" ".join(blocks)), fingerprint(" ".join(blocks[:10] + ["some new words here"] + blocks[10:]))) > 0.9
+
+
+def test_fingerprints_of_large_ids_beside_null(spark):
+    ids = [2**53 + 1, 2**53 + 3, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"some text number {n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in fingerprint_documents(docs).collect()} == set(ids)
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(300)] + [(1, "x", "s")], "doc_id long, text string, source string")
+    got = mix_sources(docs).groupBy("text").count().collect()
+    assert 150 < len(got) < 240 and max(r["count"] for r in got) < 9
