@@ -21,30 +21,32 @@ MOST_PHRASES = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier chain takes for toxic."""
+    """Drops documents that the classifier chain takes for toxic. Null and empty texts stay; without labels all stay. Other columns are kept."""
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that need too many phrases in every known language."""
+    """Drops documents without a letter, and those that need too many phrases in every known language. An empty table gives an empty one."""
     found = identify_languages(docs, docs.select("doc_id", "text", "lang"))
     return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= MOST_PHRASES)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least id; one row of repeated rows. Rows without an id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    """Keeps of each group of near-duplicates the document with the least id, of rows equal in id and text one. Rows without an id all
+    stay, and a column of any name is kept; an empty table gives an empty one."""
+    found = near_duplicates(docs).filter("doc_id is not null")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(small(materialize(gone, "duplicates")), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item. A row is known by its id and a hash of its text, so each row without an id, or with a repeated one, stands for itself."""
-    own = F.struct("doc_id", F.xxhash64("text").alias("key"))
-    found = contaminated(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = small(materialize(found.select("doc_id.doc_id", "doc_id.key").distinct(), "leaks"))
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]) & (F.xxhash64(docs["text"]) == leaks["key"]), "left_anti")
+    found = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    leaks = small(materialize(found.select(F.col("doc_id").alias("leak_id"), "text_key").distinct(), "leaks"))
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]) & (F.xxhash64(docs["text"]) == leaks["text_key"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
 
-#: The trained stages have no SQL; tests/llm holds the pipeline against a brute-force version.
+#: The trained stages have no SQL; tests/llm holds each stage against a brute-force version, and the trained ones against their labels.
 ORACLE_SQL = None
 
 
