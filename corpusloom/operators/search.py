@@ -6,11 +6,13 @@ for searches by field any of h1_parent, h2_parent, section, source_file.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
+from corpusloom.operators import filters
 
 # Weights of the fields, and the constants of BM25.
 FIELD_WEIGHTS = {"content": 5.0, "h1_parent": 2.0, "h2_parent": 1.5, "section": 1.0, "source_file": 15.0}
@@ -50,16 +52,177 @@ def bm25(weighted: Column, length: Column, df: Column, n: Column, avg_len: Colum
     return idf * weighted * (K1 + 1) / (weighted + K1 * (1 - B + B * length / avg_len))
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 10, match: str = "all", scope: DataFrame | None = None) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, n_terms, term_no, toks, prefix) of queries with `terms`, or with a text column `query`, whose distinct words then are the terms."""
+    if "terms" not in queries.columns:
+        queries = queries.withColumn("terms", F.transform(F.array_distinct(T.tokenize(F.col("query"))), lambda w: F.struct(F.array(w).alias("toks"), F.lit(False).alias("prefix"))))
+    each = queries.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("term_no", "t"))
+    return each.select("query_id", "n_terms", "term_no", F.col("t.toks").alias("toks"), F.col("t.prefix").alias("prefix"))
+
+
+def _cut_fields(chunks: DataFrame) -> DataFrame:
+    """chunk_id, and the words of each weighted field as an array."""
+    return chunks.select("chunk_id", *[T.tokenize(F.col(f)).alias(f) for f in FIELD_WEIGHTS if f in chunks.columns])
+
+
+class TermIndex:
+    """The distinct terms of a bounded set of queries, and which queries have each."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: query_id, n_terms, toks, prefix."""
+        self.ids = sorted({r[0] for r in rows})
+        number = {q: i for i, q in enumerate(self.ids)}
+        self.n_terms = np.zeros(len(self.ids), np.int64)
+        terms: dict[tuple, int] = {}
+        postings: list[tuple[int, int]] = []
+        for q, n, toks, prefix in rows:
+            self.n_terms[number[q]] = n
+            postings.append((terms.setdefault((tuple(toks), bool(prefix)), len(terms)), number[q]))
+        self.size = len(terms)
+        pairs = np.array(sorted(postings), np.int64).reshape(-1, 2)
+        self.query = pairs[:, 1]
+        self.edges = np.searchsorted(pairs[:, 0], np.arange(self.size + 1))
+        self.exact = {toks[0]: t for (toks, prefix), t in terms.items() if len(toks) == 1 and not prefix}
+        self.starts = sorted((toks[0], t) for (toks, prefix), t in terms.items() if len(toks) == 1 and prefix)
+        self.lengths = sorted({len(word) for word, _ in self.starts})
+        self.of_start = dict(self.starts)
+        self.phrases = [(toks, t) for (toks, _), t in terms.items() if len(toks) > 1]
+
+    def hits(self, batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a batch of chunks with the words of each field: rows and terms that meet, the weighted frequency of each such pair, and the words of each row."""
+        length = np.zeros(batch.num_rows, np.int64)
+        rows, terms, weights = [], [], []
+        for name in batch.schema.names[1:]:
+            column = batch.column(name)
+            size = np.diff(column.offsets.to_numpy())
+            length += size
+            coded = column.flatten().dictionary_encode()
+            code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            of_word = [[self.exact[w]] if w in self.exact else [] for w in words]
+            for n in self.lengths:
+                for found, w in zip(of_word, words, strict=True):
+                    t = self.of_start.get(w[:n]) if len(w) >= n else None
+                    if t is not None:
+                        found.append(t)
+            many = np.array([len(f) for f in of_word], np.int64)
+            at = np.cumsum(many) - many
+            flat = np.array([t for f in of_word for t in f], np.int64)
+            place = np.flatnonzero(many[code] > 0) if len(code) else np.empty(0, np.int64)
+            times = many[code[place]]
+            rows.append(np.repeat(row[place], times))
+            terms.append(flat[np.repeat(at[code[place]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+            if self.phrases:
+                known = {w: i for i, w in enumerate(words)}
+                order = np.argsort(code, kind="stable")
+                bounds = np.searchsorted(code[order], np.arange(len(words) + 1))
+                for toks, t in self.phrases:
+                    codes = [known.get(w) for w in toks]
+                    if None in codes:
+                        continue
+                    spot = order[bounds[codes[0]] : bounds[codes[0] + 1]]
+                    spot = spot[spot + len(toks) <= len(code)]
+                    for i, c in enumerate(codes[1:], 1):
+                        spot = spot[(code[spot + i] == c) & (row[spot + i] == row[spot])]
+                    rows.append(row[spot])
+                    terms.append(np.full(len(spot), t))
+            weights.append(np.full(sum(map(len, rows)) - sum(map(len, weights)), FIELD_WEIGHTS[name]))
+        key, at = np.unique(np.concatenate(rows) * max(1, self.size) + np.concatenate(terms), return_inverse=True) if rows else (np.empty(0, np.int64),) * 2
+        return key // max(1, self.size), key % max(1, self.size), np.bincount(at, weights=np.concatenate(weights), minlength=len(key)) if rows else key, length
+
+
+def _scored_in_tasks(index: TermIndex, cut: DataFrame, inside: DataFrame, top_k: int, match: str, query_type: str) -> DataFrame:
+    """(query_id, chunk_id, score), of each batch of chunks those that can be in a query's top_k. cut: the fields of all chunks; inside: of those that may be returned."""
+    import pyarrow as pa
+
+    shared = cut.sparkSession.sparkContext.broadcast(index)
+
+    def frequencies(batches):
+        df, chunks, words = np.zeros(shared.value.size, np.int64), 0, 0
+        for batch in batches:
+            _, term, _, length = shared.value.hits(batch)
+            df += np.bincount(term, minlength=len(df))
+            chunks, words = chunks + len(length), words + int(length.sum())
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(term, -1), "n": np.append(df[term], chunks), "words": np.append(np.zeros(len(term), np.int64), words)})
+
+    counts = cut.mapInArrow(frequencies, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # a row a term
+    whole = next((r for r in counts if r["term"] < 0), None)
+    n, words = (whole["n"], whole["words"]) if whole else (0, 0)
+    df = np.zeros(index.size)
+    for r in counts:
+        if r["term"] >= 0:
+            df[r["term"]] = r["n"]
+    idf = np.log((n - df + 0.5) / (df + 0.5)) if n else df
+    idf = cut.sparkSession.sparkContext.broadcast(np.where(idf <= 0, 1e-6, idf))
+    mean = words / n if words else 1.0
+
+    def best(index: TermIndex, batch, good: np.ndarray, total: np.ndarray):
+        """good and total: queries x chunks."""
+        if batch.num_rows > top_k:  # scores are rounded to 4 decimals later: what ties then must not be lost here
+            masked = np.where(good, total, -1.0)
+            good &= masked >= np.partition(masked, -top_k, axis=1)[:, [-top_k]] - 1e-4
+        which, at = np.nonzero(good)
+        return pa.RecordBatch.from_arrays([pa.array(index.ids).take(pa.array(which)), batch.column("chunk_id").take(pa.array(at)), pa.array(total[which, at])], ["query_id", "chunk_id", "score"])
+
+    def score(batches):
+        index = shared.value
+        q = len(index.ids)
+        table = None
+        if index.size * q <= 4_000_000:  # terms x queries
+            table = np.zeros((index.size, q))
+            np.add.at(table, (np.repeat(np.arange(index.size), np.diff(index.edges)), index.query), 1.0)
+        step = max(1, 4_000_000 // max(q, index.size))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                row, term, f, length = index.hits(batch)
+                part = idf.value[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * length[row] / mean))
+                times = index.edges[term + 1] - index.edges[term]
+                if match == "any" and table is not None and times.sum() * 50 > table.size * batch.num_rows:  # most queries share words with most chunks
+                    weight = np.zeros((batch.num_rows, index.size))
+                    weight[row, term] = part
+                    total = (weight @ table).T
+                    yield best(index, batch, total > 0, total)
+                    continue
+                query = index.query[np.repeat(index.edges[term], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                cell = np.repeat(row, times) + query * batch.num_rows
+                matched = np.bincount(cell, minlength=q * batch.num_rows)
+                total = np.bincount(cell, weights=np.repeat(part, times), minlength=q * batch.num_rows).reshape(q, -1)
+                good = (matched > 0 if match == "any" else matched == np.repeat(index.n_terms, batch.num_rows)).reshape(q, -1)
+                yield best(index, batch, good, total)
+
+    return inside.mapInArrow(score, f"query_id {query_type}, chunk_id {dict(cut.dtypes)['chunk_id']}, score double").withColumn("score", F.round("score", 4))
+
+
+def lexical_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 10, match: str = "all", scope: DataFrame | None = None, pairs: DataFrame | None = None, most_terms: int = 1_000_000) -> DataFrame:
     """(query_id, rank, chunk_id, score): BM25 over field-weighted terms; scores rounded to 4 decimals, ties by chunk_id.
 
     queries: query_id, terms array<struct<toks, prefix>> (functions.text.match_terms), or a text column `query`, whose distinct words
     then are the terms. match "all": a chunk has every term. A term of several tokens needs them next to each other in one field; a
-    prefix term takes all words that begin so. Statistics cover the whole table; scope (chunk_id) filters what is returned.
+    prefix term takes all words that begin so. Statistics cover the whole table; scope (chunk_id) filters what is returned, and pairs
+    (query_id, chunk_id) what is returned to each query.
+
+    While the queries have at most most_terms terms these are broadcast: one pass over the chunks counts in how many each is, another
+    scores every chunk in its own task, which returns its top_k of each query. Beyond that, terms and words are joined.
     """
-    if "terms" not in queries.columns:
-        queries = queries.withColumn("terms", F.transform(F.array_distinct(T.tokenize(F.col("query"))), lambda w: F.struct(F.array(w).alias("toks"), F.lit(False).alias("prefix"))))
-    terms = queries.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("term_no", "t")).select("query_id", "n_terms", "term_no", F.col("t.toks").alias("toks"), F.col("t.prefix").alias("prefix"))
+    terms, cut = query_terms(queries), _cut_fields(chunks)
+    if pairs is not None:
+        own = pairs.select("chunk_id").distinct()
+        own = own if scope is None else own.join(scope, "chunk_id", "left_semi")
+        found = lexical_search(queries, chunks, top_k=(1 << 31) - 1, match=match, scope=own, most_terms=most_terms)
+        return top_ranked(found.join(pairs, ["query_id", "chunk_id"], "left_semi").select("query_id", "chunk_id", "score"), top_k)
+    rows = terms.select("query_id", "n_terms", "toks", "prefix").limit(most_terms + 1).collect()
+    if len(rows) > most_terms:
+        return top_ranked(_scored_by_join(terms, chunks, match, scope), top_k)
+    if not rows:
+        return top_ranked(terms.join(cut.select("chunk_id"), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score")), top_k)
+    inside = cut if scope is None else cut.join(small(scope.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return top_ranked(_scored_in_tasks(TermIndex([tuple(r) for r in rows]), cut, inside, top_k, match, dict(terms.dtypes)["query_id"]), top_k)
+
+
+def _scored_by_join(terms: DataFrame, chunks: DataFrame, match: str, scope: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, score) of all that match, by joins of terms and words."""
     fields = [f for f in FIELD_WEIGHTS if f in chunks.columns]
     cut = chunks.select("chunk_id", F.array(*[F.struct(F.lit(FIELD_WEIGHTS[f]).alias("weight"), T.tokenize(F.col(f)).alias("ws")) for f in fields]).alias("fields"))
     words = cut.select("chunk_id", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["ws"])).alias("len"), F.inline("fields"))
@@ -95,7 +258,7 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, *, top_k: int = 10, ma
         found = found.filter("matched = n_terms")
     if scope is not None:
         found = found.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    return top_ranked(found.select("query_id", "chunk_id", "score"), top_k)
+    return found.select("query_id", "chunk_id", "score")
 
 
 def top_ranked(scored: DataFrame, top_k: int, score: str = "score") -> DataFrame:
@@ -111,62 +274,78 @@ def boosted(found: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int)
     return top_ranked(named.select("query_id", "chunk_id", F.round(F.col("score") + boost, 4).alias("score")), top_k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, *, top_k: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, rank, chunk_id, score): the exact top_k nearest vectors of each query vector by cosine, 4 decimals, ties by chunk_id.
+def _unit(vectors: list) -> np.ndarray:
+    v = np.array(vectors, np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None] if len(v) else v.reshape(0, 0)
 
-    queries: query_id, embedding. vectors: chunk_id, embedding (filter them first). The queries are a stated set: they go in blocks to
-    every batch of vectors, which returns its own top_k of each query; a window then takes the top_k of those.
-    """
-    import numpy as np
+
+def _nearest(queries: DataFrame, vectors: DataFrame, columns: str, most: int, block: int, tell) -> DataFrame:
+    """(query_id, and columns) from every batch of vectors: tell(q, v) gives a distance for each pair, of which a batch returns the `most` least
+    of each query, ties by chunk_id. The queries are a stated set: they are broadcast in blocks of at most `block`, as a rule in one."""
     import pandas as pd
 
-    n = queries.count()
+    spark, n = queries.sparkSession, queries.count()
     parts = max(1, -(-n // block))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    found: DataFrame | None = None
-    kind = dict(vectors.dtypes)["chunk_id"]
-    qkind = dict(queries.dtypes)["query_id"]
+    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block"))
+    found: list[DataFrame] = []
     for b in range(parts):
-        rows = blocks.filter(F.col("block") == b).select("query_id", "embedding").collect()  # one block: bounded
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1), 1e-12)[:, None]
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-        def nearest(batches, shared=shared):
+        rows = (q if parts == 1 else q.filter(F.col("block") == b)).collect()
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], object), _unit([r[1] for r in rows])))
+
+        def run(batches, shared=shared):
             ids, q = shared.value
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf["embedding"].tolist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                sim = np.round(np.clip(q @ v.T, -1, 1), 4)
-                order = np.argsort(pdf["chunk_id"].to_numpy(), kind="stable")
-                sim = sim[:, order]
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :top_k]
-                names = pdf["chunk_id"].to_numpy()[order]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids, object), top.shape[1]), "chunk_id": names[top].ravel(), "score": np.take_along_axis(sim, top, axis=1).ravel()})
-
-        one = vectors.select("chunk_id", "embedding").mapInPandas(nearest, f"query_id {qkind}, chunk_id {kind}, score double")
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], f"query_id {qkind}, chunk_id {kind}, score double")
-    return top_ranked(found, top_k)
-
-
-def knn_join_approx(queries: DataFrame, vectors: DataFrame, *, top_k: int = 10, tables: int = 12, width: float = 1.0, reach: float = 1.3) -> DataFrame:
-    """knn_join's result approximately: locality-sensitive hashing of normalised vectors finds candidates within the distance `reach`, which are scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, key: df.select(key, "embedding", array_to_vector(T.l2_normalize(F.col("embedding"))).alias("unit"))
-    v, q = unit(vectors, "chunk_id"), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=7).fit(v)
-    near = model.approxSimilarityJoin(q, v, reach, distCol="distance")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), T.cosine(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("score"))
-    return top_ranked(scored, top_k)
+                if len(pdf) and len(ids):
+                    pdf = pdf.sort_values("chunk_id", kind="stable")
+                    names = pdf["chunk_id"].to_numpy()
+                    v = _unit(pdf["embedding"].tolist())
+                    for start in range(0, len(ids), 1024):
+                        far = tell(q[start : start + 1024], v)
+                        near = np.argsort(far, axis=1, kind="stable")[:, :most]
+                        yield pd.DataFrame({"query_id": np.repeat(ids[start : start + 1024], near.shape[1]), "chunk_id": names[near].ravel(), columns: np.take_along_axis(far, near, axis=1).ravel()})
+
+        found.append(vectors.select("chunk_id", "embedding").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, {columns} double"))
+    while len(found) > 1:
+        found = [a.union(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) // 2 * 2 :]
+    return found[0]
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, *, top_k: int = 10, block: int = 65_536) -> DataFrame:
+    """(query_id, rank, chunk_id, score): the exact top_k nearest vectors of each query vector by cosine, 4 decimals, ties by chunk_id.
+
+    queries: query_id, embedding. vectors: chunk_id, embedding (filter them first). Every batch of vectors returns its own top_k of each
+    query; a window then takes the top_k of those.
+    """
+    near = _nearest(queries, vectors, "far", top_k, block, lambda q, v: -np.round(np.clip(q @ v.T, -1, 1), 4))
+    return top_ranked(near.select("query_id", "chunk_id", (F.lit(0.0) - F.col("far")).alias("score")), top_k)
+
+
+def knn_join_approx(queries: DataFrame, vectors: DataFrame, *, top_k: int = 10, bits: int = 512, refine: int = 10, block: int = 65_536) -> DataFrame:
+    """knn_join's result approximately: the refine * top_k vectors whose sketches, the signs of `bits` random projections, differ from the query's in the
+    fewest bits are the candidates, and these alone are compared exactly.
+
+    Vectors without any structure have no useful buckets: to find nine of ten neighbours in such buckets nearly all pairs would be candidates. Sketches are
+    compared in `bits` / 8 bytes a vector instead.
+    """
+    candidates = sketch_candidates(queries, vectors, refine * top_k, bits, block)
+    q = queries.select("query_id", F.col("embedding").alias("q"))
+    pairs = vectors.select("chunk_id", "embedding").join(small(candidates), "chunk_id").join(small(q), "query_id")
+    return top_ranked(pairs.select("query_id", "chunk_id", T.cosine(F.col("q"), F.col("embedding")).alias("score")), top_k)
+
+
+def sketch_candidates(queries: DataFrame, vectors: DataFrame, most: int, bits: int = 512, block: int = 65_536) -> DataFrame:
+    """(query_id, chunk_id): of each query the `most` vectors with the likest sketches."""
+
+    def differ(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        planes = np.random.default_rng(7).normal(size=(v.shape[1], bits))
+        a, b = (np.packbits(x @ planes > 0, axis=1) for x in (q, v))
+        pad = -a.shape[1] % 8
+        a, b = (np.pad(x, ((0, 0), (0, pad))).view(np.uint64) for x in (a, b))
+        return sum(np.bitwise_count(a[:, [w]] ^ b[:, w]).astype(np.float64) for w in range(a.shape[1]))
+
+    near = _nearest(queries, vectors, "far", most, block, differ)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("far", "chunk_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "chunk_id")
 
 
 def rrf_join(lexical: DataFrame, dense: DataFrame) -> DataFrame:
@@ -180,17 +359,17 @@ def rrf_score(boost: Column | None = None) -> Column:
     return F.round(part("lexical_rank") + part("dense_rank") + (boost if boost is not None else F.lit(0.0)), 6)
 
 
-def fuse(lexical: DataFrame | None, dense: DataFrame | None, top_k: int, boosts: DataFrame | None = None) -> DataFrame:
+def fuse(lexical: DataFrame | None, dense: DataFrame | None, top_k: int, boosts: DataFrame | None = None, method: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, rrf_score, lexical_rank, lexical_score, dense_rank, dense_score, method).
 
     boosts (query_id, chunk_id, boost): an exact name's 0.02 counts in full only for a lexical rank of 3 or better, else as 0.005. With one
-    arm alone its order stays, no score is invented, and the method is <arm>_fallback.
+    arm alone its order stays, no score is invented, and the method is `method`, or bm25_fallback or dense_fallback.
     """
     if lexical is None or dense is None:
         name, arm = ("lexical", lexical) if dense is None else ("dense", dense)
         other = "dense" if name == "lexical" else "lexical"
         empty = F.lit(None)
-        cols = {f"{name}_rank": F.col("rank"), f"{name}_score": F.col("score"), f"{other}_rank": empty.cast("int"), f"{other}_score": empty.cast("double"), "rrf_score": empty.cast("double"), "method": F.lit(f"{name}_fallback")}
+        cols = {f"{name}_rank": F.col("rank"), f"{name}_score": F.col("score"), f"{other}_rank": empty.cast("int"), f"{other}_score": empty.cast("double"), "rrf_score": empty.cast("double"), "method": F.lit(method or {"lexical": "bm25_fallback", "dense": "dense_fallback"}[name])}
         out = arm.filter(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", *[c.alias(n) for n, c in cols.items()])
     else:
         both, boost = rrf_join(lexical, dense), None
@@ -200,16 +379,79 @@ def fuse(lexical: DataFrame | None, dense: DataFrame | None, top_k: int, boosts:
         zero = lambda c: F.desc(F.coalesce(c, F.lit(0.0)))
         order = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), zero("dense_score"), zero("lexical_score"), "chunk_id")
         out = both.withColumn("rrf_score", rrf_score(boost)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-        out = out.withColumn("method", F.when(F.col("lexical_rank").isNull(), "dense").when(F.col("dense_rank").isNull(), "lexical").otherwise("hybrid"))
+        out = out.withColumn("method", F.lit("hybrid"))
     return out.select("query_id", "rank", "chunk_id", "rrf_score", "lexical_rank", "lexical_score", "dense_rank", "dense_score", "method")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, *, top_k: int = 10, mode: str = "hybrid", match: str = "all") -> DataFrame:
-    """Search of a table of queries (query_id, query, and embedding for the dense arm) in the mode hybrid, bm25 or dense, with a pool of max(50, 2k) for each arm."""
-    pool = max(50, 2 * top_k)
-    lexical = lexical_search(queries.drop("embedding"), chunks, top_k=pool, match=match) if mode in ("hybrid", "bm25") else None
-    dense = knn_join(queries.select("query_id", "embedding"), vectors, top_k=pool) if mode in ("hybrid", "dense") and vectors is not None else None
-    return fuse(lexical, dense, top_k)
+def filename_boosts(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, boost) of the pairs whose query names the chunk's source_file, in the domain of fused scores."""
+    named = pairs.select("query_id", "chunk_id").distinct().join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "source_file"), "chunk_id")
+    boost = T.filename_boost(F.col("query"), T.query_tokens(F.col("query")), F.col("source_file"), "rrf")
+    return named.select("query_id", "chunk_id", boost.alias("boost")).filter("boost > 0")
+
+
+def overfetch(top_k: int) -> int:
+    """How many lexical hits are fetched for the filename boost to act on."""
+    return min(max(3 * top_k, 50), 200)
+
+
+def _arms(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, files: DataFrame | None, pool: int, mode: str, match: str, scope: dict, pairs: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The lexical and the dense arm's first `pool` chunks of each query: of files that may be found, and, with pairs, of each query's own chunks only."""
+    inside: dict[str, DataFrame | None] = {"lexical": None, "dense": None}
+    if files is not None:
+        known = chunks.select("chunk_id", "file_id").join(files.drop(*({"chunk_id"} & set(files.columns))), "file_id")
+        inside = {arm: filters.in_scope(known.filter(filters.visible(arm)), **scope).select("chunk_id") for arm in inside}
+    lexical = dense = None
+    if mode in ("hybrid", "bm25"):
+        asked = queries.filter("query is not null").select("query_id", "query", *(["terms"] if "terms" in queries.columns else []))
+        if match == "all" and "terms" not in queries.columns:
+            asked = asked.withColumn("terms", T.match_terms(F.col("query")))
+        named = "source_file" in chunks.columns
+        lexical = lexical_search(asked, chunks, top_k=overfetch(pool) if named else pool, match=match, scope=inside["lexical"], pairs=pairs)
+        lexical = boosted(lexical, asked, chunks, pool) if named else lexical
+    if mode in ("hybrid", "dense") and vectors is not None:
+        asked = queries.filter("embedding is not null").select("query_id", "embedding")
+        near = vectors if inside["dense"] is None else vectors.join(inside["dense"], "chunk_id", "left_semi")
+        if pairs is None:
+            dense = knn_join(asked, near, top_k=pool)
+        else:
+            own = pairs.join(asked.withColumnRenamed("embedding", "q"), "query_id").join(near, "chunk_id")
+            dense = top_ranked(own.select("query_id", "chunk_id", T.cosine(F.col("q"), F.col("embedding")).alias("score")), pool)
+    return lexical, dense
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, *, files: DataFrame | None = None, top_k: int = 10, mode: str = "hybrid", quality: str = "fast", match: str = "all", scorer=None, **scope) -> DataFrame:
+    """Search of a table of queries (query_id, query, embedding; a null query or embedding has no such arm) in the mode hybrid, bm25 or dense.
+
+    With match "all" a chunk has every term of functions.text.match_terms, phrases and prefixes among them. In the mode hybrid each arm has
+    a pool of max(50, 2k); chunks with a source_file that the query names are boosted in the lexical arm, after an overfetch, and in the
+    fusion. Without vectors the lexical arm's order stays. With files (file_id, index_status and what scope names; filename, path,
+    relative_path for file names), hidden files are left out, scope (as for filters.in_scope) restricts both arms, and a query that is a
+    file's name is answered from that file alone, with nothing if there is none. quality "quality" reranks the fused pool by scorer.
+    """
+    if mode not in ("hybrid", "bm25", "dense") or quality not in ("fast", "quality") or (quality == "quality" and mode != "hybrid"):
+        raise ValueError(f"no such search: mode {mode}, quality {quality}")
+    pool = max(50, 2 * top_k) if mode == "hybrid" else top_k
+    queries = queries.persist()  # a stated set; each arm and every name below asks it again
+    if files is not None:
+        queries = queries.withColumn("intent", T.filename_intent(F.col("query"))).persist()
+    lexical, dense = _arms(queries if files is None else queries.filter("intent is null"), chunks, vectors, files, pool, mode, match, scope)
+    if files is not None:
+        asked = queries.filter("intent is not null")
+        if not asked.isEmpty():
+            whole = F.lower(F.replace(F.trim(F.regexp_replace("query", "^[\"']|[\"']$", "")), F.lit("\\"), F.lit("/")))
+            of_name = filters.named_files(asked.select("query_id", "intent"), files, "query_id", "intent")
+            of_path = filters.named_files(asked.select("query_id", whole.alias("p")), files, "query_id", "p")
+            pairs = of_name.union(of_path).distinct().join(chunks.select("chunk_id", "file_id"), "file_id").select("query_id", "chunk_id").persist()
+            both = _arms(asked.drop("intent"), chunks, vectors, files, pool, mode, match, scope, pairs)
+            lexical, dense = (a if b is None else a.unionByName(b) for a, b in zip((lexical, dense), both, strict=True))
+    if mode != "hybrid":
+        return fuse(lexical, dense, top_k, method=mode)
+    boosts = None
+    if lexical is not None and dense is not None and "source_file" in chunks.columns:
+        boosts = filename_boosts(lexical.select("query_id", "chunk_id").union(dense.select("query_id", "chunk_id")), queries.filter("query is not null"), chunks)
+    found = fuse(lexical, dense, min(max(25, top_k), 100) if quality == "quality" else top_k, boosts)
+    return rerank(found, queries.filter("query is not null"), chunks, top_k=top_k, scorer=scorer or overlap_scorer) if quality == "quality" else found
 
 
 def overlap_scorer(query: Column, text: Column) -> Column:

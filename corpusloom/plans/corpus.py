@@ -195,7 +195,7 @@ def budget_for_model(spark, sf):
 
 
 PROMPT = """SELECT query_id, '{i}' || chr(10) || chr(10) || '--- EVIDENCE ---' || chr(10) || chr(10) || string_agg('[E' || rank || '] [Source: ' || source || ']' || chr(10) || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '--- USER QUESTION ---' || chr(10) || chr(10) || any_value(array_to_string(ws, ' ')) || chr(10) || chr(10) || '--- ANSWER ---' AS prompt
-  FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) GROUP BY query_id""".format(i=C.INSTRUCTIONS)
+  FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) WHERE ws IS NOT NULL GROUP BY query_id""".format(i=C.INSTRUCTIONS)
 
 
 @query("build_prompts", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)} {PROMPT}")
@@ -203,14 +203,14 @@ def build_prompts(spark, sf):
     none = F.lit(None).cast("string")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), T.evidence_header(F.col("source"), none, none, none, none).alias("header"))
     e = docs.join(search.small(Q.dense(spark, sf, 3)), "chunk_id").select("query_id", "rank", "chunk_id", "header", "content")
-    return C.build_prompts(e, Q.stated_queries(spark, sf)).select("query_id", "prompt")
+    return C.build_prompts(e, Q.text_queries(spark, sf)).select("query_id", "prompt")
 
 
-@query("export_search", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)} SELECT query_id, '# Search: ' || any_value(array_to_string(ws, ' ')) || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || source || ' (score: ' || CASE WHEN rank = 3 THEN 'Unranked' ELSE printf('%.3f', score) END || ')' || chr(10) || chr(10) || left(text, 50), chr(10) || chr(10) ORDER BY rank) AS markdown FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) GROUP BY query_id")
+@query("export_search", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)} SELECT query_id, '# Search: ' || any_value(array_to_string(ws, ' ')) || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || source || ' (score: ' || CASE WHEN rank = 3 THEN 'Unranked' ELSE printf('%.3f', score) END || ')' || chr(10) || chr(10) || left(text, 50), chr(10) || chr(10) ORDER BY rank) AS markdown FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) WHERE ws IS NOT NULL GROUP BY query_id")
 def export_search(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.substring("text", 1, 50).alias("snippet"))
     found = docs.join(search.small(Q.dense(spark, sf, 3)), "chunk_id").withColumn("score", F.when(F.col("rank") < 3, F.col("score")))
-    return export.search_markdown(found, Q.stated_queries(spark, sf), "score")
+    return export.search_markdown(found, Q.text_queries(spark, sf), "score")
 
 
 def groups(spark, sf):

@@ -225,9 +225,9 @@ def table_to_markdown(spark, sf):
     return n.select("n_regionkey", T.table_to_markdown(F.array(F.lit("key"), F.lit("name")), rows).alias("markdown"))
 
 
-@query("scope_filter", f"WITH {LINES} SELECT chunk_id FROM lines WHERE extension = '.fr' AND file_id IN ('1', '30', '16', '7', '33')")
+@query("scope_filter", f"WITH {FILES}, {LINES} SELECT chunk_id FROM lines WHERE extension = '.fr' AND file_id IN (SELECT file_id FROM files WHERE folder_id IN ('src1', 'src3', 'src5'))")
 def scope_filter(spark, sf):
-    return filters.in_scope(lines(spark, sf), extension="FR", file_id="99", file_ids=["1", "30", "16", "7", "33"]).select("chunk_id")
+    return filters.in_scope(lines(spark, sf), extension="FR", file_id="99", file_ids=files(spark, sf).filter("folder_id in ('src1', 'src3', 'src5')")).select("chunk_id")
 
 
 @query("status_filter", f"WITH {FILES} SELECT file_id, index_status NOT IN ('MISSING', 'FAILED', 'SKIPPED') AS lexical, index_status <> 'MISSING' AS dense FROM files")
