@@ -152,18 +152,48 @@ def edge_order(spark, sf):
     return file_edges(spark, sf).select("file_id", "kind", "label", "target_id", F.row_number().over(W.partitionBy("file_id").orderBy("kind", "target_id", F.lower("label"))).alias("place"))
 
 
-@query("synthetic_query")
+HEADED = "headed AS (SELECT *, 'Part ' || (chunk_index // 4) AS section, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index) - 1 AS place, count(*) OVER (PARTITION BY file_id) AS total FROM lines)"
+SYNTHETIC = rf"""{FILES}, {LINES}, {HEADED},
+  sampled AS (SELECT file_id, section, min(place) AS place FROM headed WHERE total <= 15 OR place < 5 OR place BETWEEN total // 2 - 3 AND total // 2 + 2 OR place >= total - 5 GROUP BY file_id, section),
+  hs AS (SELECT file_id, string_agg(section, ' ' ORDER BY place) AS headings FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY place) AS r FROM sampled) WHERE r <= 6 GROUP BY file_id),
+  snip AS (SELECT file_id, place, left(trim(regexp_replace(content, '\s+', ' ', 'g')), 140) AS t FROM headed WHERE place < 2 OR (total > 4 AND place = total // 2)),
+  ts AS (SELECT file_id, string_agg(t, ' ' ORDER BY place) AS texts FROM snip WHERE t <> '' GROUP BY file_id),
+  whole AS (SELECT file_id, trim(concat_ws(' ', translate(regexp_replace(filename, '\.[^.]*$', ''), '_-', '  '), headings, texts)) AS q FROM files JOIN hs USING (file_id) LEFT JOIN ts USING (file_id)),
+  synthetic AS (SELECT file_id AS query_id, trim(CASE WHEN length(q) <= 400 THEN q ELSE regexp_replace(left(q, 400), ' [^ ]*$', '') END) AS query FROM whole)"""
+
+
+def headed(spark, sf):
+    """lines, four of which stand under one heading."""
+    return lines(spark, sf).withColumn("section", F.concat(F.lit("Part "), F.floor(F.col("chunk_index") / 4).cast("string")))
+
+
+@query("synthetic_query", f"WITH {SYNTHETIC} SELECT query_id, query FROM synthetic")
 def synthetic_query(spark, sf):
-    return graph.synthetic_queries(lines(spark, sf), files(spark, sf))
+    return graph.synthetic_queries(headed(spark, sf), files(spark, sf))
 
 
-@query("related_files")
+@query(
+    "related_files",
+    rf"""WITH {SYNTHETIC}, q AS (SELECT query_id, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') AS ws, embedding FROM synthetic LEFT JOIN embeddings ON vec_id = query_id::BIGINT WHERE query_id::BIGINT % 50 = 0),
+  qt AS (SELECT DISTINCT query_id, 0 AS nt, unnest(ws) AS term FROM q),
+  tok AS (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM lines)),
+  tf AS (SELECT chunk_id, len, term, 5.0::DOUBLE * count(*) AS f FROM tok GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  st AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'))) AS a FROM lines),
+  {Q.SCORED.format(having='true', k=60)},
+  sim AS (SELECT q.query_id, e.vec_id || ':0' AS chunk_id, round(greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS score FROM q, embeddings e WHERE q.embedding IS NOT NULL AND e.vec_id IN (SELECT doc_id FROM documents)),
+  den AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sim QUALIFY rank <= 60), {Q.FUSED},
+  hit AS (SELECT o.query_id AS file_id, l.file_id AS related_id, o.chunk_id, rrf_score, row_number() OVER (PARTITION BY o.query_id, l.file_id ORDER BY rrf_score DESC, o.chunk_id) AS place FROM ordered o JOIN lines l USING (chunk_id) WHERE o.rank <= 30 AND o.query_id <> l.file_id),
+  g AS (SELECT file_id, related_id, max(rrf_score) AS score, count(*) AS hits, arg_min(chunk_id, place) AS best_chunk, coalesce(list(chunk_id ORDER BY place) FILTER (place IN (2, 3)), []) AS supporting FROM hit GROUP BY file_id, related_id)
+  SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY score DESC, hits DESC, related_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 5""".replace("hit AS (SELECT query_id, nt", "scored AS (SELECT query_id, nt").replace("FROM hit GROUP BY query_id, nt", "FROM scored GROUP BY query_id, nt"),
+)
 def related_files(spark, sf):
-    """Related files of the files whose id is divisible by 50, among all."""
-    c = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("file_id"), F.col("text").alias("content"))
-    q = graph.synthetic_queries(lines(spark, sf), files(spark, sf)).filter(F.col("query_id").cast("long") % 50 == 0)
-    found = search.lexical_search(q, c, top_k=30, match="any")
-    return graph.related_files(found, c)
+    """Related files of the files whose id is divisible by 50, among all: by words, and by the vectors of their first lines."""
+    c = headed(spark, sf).select("file_id", "chunk_id", "content")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("file_id"), "embedding")
+    q = graph.synthetic_queries(headed(spark, sf), files(spark, sf)).filter(F.col("query_id").cast("long") % 50 == 0)
+    q = q.join(v.withColumnRenamed("file_id", "query_id"), "query_id", "left")
+    near = v.join(files(spark, sf).select("file_id"), "file_id").select(F.concat("file_id", F.lit(":0")).alias("chunk_id"), "embedding")
+    return graph.related_files(search.hybrid_search(q, c, near, top_k=30, match="any"), c)
 
 
 @query("match_explanation", f"{Q.POOL}, g AS (SELECT query_id, source, count(*) AS hits, 'doc ' || arg_min(chunk_id, rank) AS heading FROM ordered JOIN documents ON doc_id = chunk_id GROUP BY ALL) SELECT query_id, source, 'Matched ' || hits || CASE WHEN hits = 1 THEN ' section' ELSE ' sections' END || ' including ''' || heading || '''' AS explanation FROM g")
