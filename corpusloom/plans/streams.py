@@ -12,18 +12,19 @@ QUIET = 3600.0
 
 
 def file_events(spark, sf):
-    """events as file events: 200 paths in ten directories a user; views are CREATEs, clicks MODIFYs, errors DELETEs, the rest MOVEs; every 40th is of a directory."""
+    """events as file events: fifteen paths in three directories of each user; views are CREATEs, clicks MODIFYs, errors DELETEs, the rest MOVEs; every 40th is of a directory."""
     k, t = F.col("event_id"), F.col("event_type")
     kind = F.when(t == "view", "CREATE").when(t == "click", "MODIFY").when(t == "error", "DELETE").otherwise("MOVE")
-    d, whole = F.concat(F.lit("/r/d"), (k % 3).cast("string")), k % 40 == 0
-    path = F.when(whole, d).otherwise(F.concat(d, F.lit("/f"), (k % 2).cast("string")))
-    old = F.when((kind == "MOVE"), F.when(whole, F.concat(F.lit("/r/d"), ((k + 1) % 3).cast("string"))).otherwise(F.concat(d, F.lit("/f"), ((k + 1) % 2).cast("string"))))
+    root, whole = F.concat(F.lit("/r/u"), F.col("user_id").cast("string"), F.lit("/d")), k % 40 == 0
+    place = lambda i: F.concat(root, (k % 3).cast("string"), F.lit("/f"), (i % 5).cast("string"))
+    path = F.when(whole, F.concat(root, (k % 3).cast("string"))).otherwise(place(k))
+    old = F.when((kind == "MOVE"), F.when(whole, F.concat(root, ((k + 1) % 3).cast("string"))).otherwise(place(k + 1)))
     return table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("folder_id"), kind.alias("event_type"), path.alias("path"), old.alias("old_path"), whole.alias("is_directory"), F.col("ts").alias("observed_at"))
 
 
 EVENTS = """fe AS (SELECT event_id, CAST(user_id AS VARCHAR) AS folder_id, CASE event_type WHEN 'view' THEN 'CREATE' WHEN 'click' THEN 'MODIFY' WHEN 'error' THEN 'DELETE' ELSE 'MOVE' END AS event_type,
-    '/r/d' || (event_id % 3) || CASE WHEN event_id % 40 = 0 THEN '' ELSE '/f' || (event_id % 2) END AS path,
-    CASE WHEN event_type NOT IN ('view', 'click', 'error') THEN CASE WHEN event_id % 40 = 0 THEN '/r/d' || ((event_id + 1) % 3) ELSE '/r/d' || (event_id % 3) || '/f' || ((event_id + 1) % 2) END END AS old_path, event_id % 40 = 0 AS is_directory, ts AS observed_at FROM events),
+    '/r/u' || user_id || '/d' || (event_id % 3) || CASE WHEN event_id % 40 = 0 THEN '' ELSE '/f' || (event_id % 5) END AS path,
+    CASE WHEN event_type NOT IN ('view', 'click', 'error') THEN CASE WHEN event_id % 40 = 0 THEN '/r/u' || user_id || '/d' || ((event_id + 1) % 3) ELSE '/r/u' || user_id || '/d' || (event_id % 3) || '/f' || ((event_id + 1) % 5) END END AS old_path, event_id % 40 = 0 AS is_directory, ts AS observed_at FROM events),
   gap AS (SELECT *, CASE WHEN observed_at - lag(observed_at) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM fe WINDOW w AS (PARTITION BY folder_id ORDER BY observed_at, event_id)),
   fb AS (SELECT * EXCLUDE fresh, sum(fresh) OVER (PARTITION BY folder_id ORDER BY observed_at, event_id)::BIGINT AS burst FROM gap)"""
 
@@ -57,9 +58,12 @@ def collapse_cascades(spark, sf):
 
 @query("apply_events")
 def apply_events(spark, sf):
+    """All events, MOVEs and cascades among them, applied to half of the files that they name."""
     e = file_events(spark, sf)
-    start = e.groupBy("path").agg(F.min("observed_at").alias("modified_at")).withColumn("path", F.concat(F.lit("/r/d0/old"), F.md5("path"))).select("path", F.md5("path").alias("file_id"), F.lit("INDEXED").alias("index_status"), "modified_at")
-    return E.apply_events(start, E.coalesce_events(E.with_burst(e, QUIET)).filter("event_type <> 'MOVE'"))
+    named = e.filter("not is_directory").groupBy("path").agg(F.min("observed_at").alias("modified_at")).filter(F.md5("path") < "8")
+    start = named.select("path", F.md5("path").alias("file_id"), F.lit("INDEXED").alias("index_status"), "modified_at")
+    done = E.coalesce_events(E.collapse_cascades(E.with_burst(e, QUIET)).withColumn("burst", F.lit(0)))
+    return E.apply_events(start, done)
 
 
 @query("live_status", "SELECT CASE event_type WHEN 'view' THEN 'CREATE' WHEN 'click' THEN 'MODIFY' WHEN 'error' THEN 'DELETE' ELSE 'MOVE' END AS event_type, time_bucket(INTERVAL 1 HOUR, ts) AS started, count(*) AS n FROM events GROUP BY 1, 2")

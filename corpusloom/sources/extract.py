@@ -146,18 +146,26 @@ def markdown_elements(files: DataFrame) -> DataFrame:
     return _islands(rows, starts).withColumn("text", F.when(F.col("type") == "HEADING", F.trim(F.regexp_replace("text", r"^#{1,6}\s+", ""))).otherwise(F.col("text")))
 
 
-# What a class and a function begin with.
-CLASS_LINE = r"^\s*(export\s+)?(abstract\s+|public\s+|final\s+)*(class|interface|struct|enum|trait|impl)\s+\w"
-FUNCTION_LINE = r"^\s*(export\s+|async\s+|public\s+|private\s+|static\s+|pub\s+)*(def|function|func|fn)\s+\w"
+# What a class or type and a function begin with, some in files of one language only.
+CLASS_LINE = r"^\s*class "
+TYPE_LINES = {".rs": r"^\s*(pub |pub\(crate\) )?(struct|enum|impl|trait) ", ".go": r"^\s*type "}
+FUNCTION_LINE = r"^\s*((async )?def |function |(pub |pub\(crate\) )?(async )?fn |func |public void |public int )"
 
 
 def code_elements(files: DataFrame) -> DataFrame:
-    """A heading of level 1 for each class line, of level 2 for each function line; the lines under them are a code block."""
+    """A heading of level 1 for each class line, of level 2 for each function line, without a colon or brace at its end; the lines under them are a code block.
+    Types of Rust and Go are known by the file's extension, if files has one."""
     rows = text_lines(files)
-    level = F.when(F.col("content").rlike(CLASS_LINE), 1).when(F.col("content").rlike(FUNCTION_LINE), 2)
+    first = F.col("content").rlike(CLASS_LINE)
+    if "extension" in files.columns:
+        rows = rows.join(files.select("file_id", F.lower("extension").alias("extension")), "file_id")
+        for extension, line in TYPE_LINES.items():
+            first = first | ((F.col("extension") == extension) & F.col("content").rlike(line))
+    level = F.when(first, 1).when(F.col("content").rlike(FUNCTION_LINE), 2)
     rows = rows.withColumn("level", level).withColumn("type", F.when(level.isNotNull(), "HEADING").otherwise("CODE_BLOCK")).withColumn("before", _previous("type"))
     starts = (F.col("type") == "HEADING") | F.coalesce(F.col("before") == "HEADING", F.lit(True))
-    return _islands(rows, starts)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), ":+$", ""), r"\{+$", ""))
+    return _islands(rows, starts).withColumn("text", F.when(F.col("type") == "HEADING", plain).otherwise(F.col("text")))
 
 
 class _Html(HTMLParser):

@@ -6,10 +6,14 @@ under it. A burst is a session of events of one folder with gaps shorter than th
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpusloom.operators import lifecycle
 from corpusloom.operators.lifecycle import ancestors
@@ -100,13 +104,76 @@ def without_late_repeats(events: DataFrame, late: str = "10 minutes") -> DataFra
     return events.dropDuplicates(["event_id"])
 
 
-def run_incremental(source: DataFrame, checkpoint: str, snapshot: str, initial: DataFrame):
-    """Start a query that applies each batch of events to the snapshot folder: version n + 1 is written beside version n, so a batch that runs again gives the same version."""
+BURST_EVENTS = T.StructType([*SCHEMA.fields, T.StructField("burst", T.LongType())])
+
+
+def closed_bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str = "5 seconds") -> DataFrame:
+    """events of a stream, each with its burst (the time of its first event, in microseconds), once the burst is closed: when the watermark is a quiet
+    time past its last event, so no later event can be part of it. A burst that several micro-batches bring is held by folder until then, and then comes as a whole.
+    Events behind the watermark are dropped."""
+    step = int(microseconds(events.sparkSession, quiet))
+    names = [f.name for f in SCHEMA.fields]
+
+    def hold(key, frames, state):
+        rows = json.loads(state.get[0]) if state.exists else []
+        for pdf in frames:
+            pdf = pdf.assign(observed_at=pdf["observed_at"].astype("datetime64[us]").astype("int64"))
+            rows += [[None if x is None or x != x else x for x in r] for r in pdf[names].astype(object).values.tolist()]
+        rows.sort(key=lambda r: (r[-1], r[0]))
+        now, out, kept, ends, start = state.getCurrentWatermarkMs() * 1000, [], [], [], 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i][-1] - rows[i - 1][-1] >= step:
+                end = rows[i - 1][-1] + step
+                if end <= now:
+                    out += [[*r, rows[start][-1]] for r in rows[start:i]]
+                else:
+                    kept += rows[start:i]
+                    ends.append(end)
+                start = i
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        made = pd.DataFrame(out, columns=[*names, "burst"])
+        yield made.assign(event_id=made["event_id"].astype("Int64"), observed_at=pd.to_datetime(made["observed_at"].astype("int64"), unit="us"), burst=made["burst"].astype("int64"))
+
+    held = events.select(*names).withWatermark("observed_at", late)
+    return held.groupBy("folder_id").applyInPandasWithState(hold, BURST_EVENTS, T.StructType([T.StructField("held", T.StringType())]), "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def microseconds(spark: SparkSession, interval: str) -> int:
+    """Of an interval such as "500 milliseconds"."""
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {interval})")).first()[0]
+
+
+def latest_files(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame:
+    """The file table of a snapshot folder: of each folder_id the rows that the last batch which touched it has written, of those before one batch if that is given."""
+    rows = spark.read.option("basePath", snapshot).parquet(snapshot)
+    rows = rows if before is None else rows.filter(F.col("delta") < before)
+    last = rows.groupBy("folder_id").agg(F.max("delta").alias("delta"))
+    return rows.join(last, ["folder_id", "delta"], "left_semi").drop("delta")
+
+
+def run_incremental(source: DataFrame, checkpoint: str, snapshot: str, initial: DataFrame, *, quiet: str = "500 milliseconds", late: str = "5 seconds"):
+    """Start a query that applies each burst of events, when it is closed, to the files of its folder (folder_id, path, file_id, index_status, modified_at).
+
+    A batch writes the files of the folders that it touches as one delta, numbered by the batch, so a batch that runs again replaces it by an equal one.
+    latest_files reads the outcome. Events without a quiet time after them wait in the state.
+    """
     spark = source.sparkSession
-    initial.write.mode("ignore").parquet(f"{snapshot}/v0")
+    initial.write.mode("ignore").parquet(f"{snapshot}/delta=0")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        done = coalesce_events(collapse_cascades(with_burst(batch)))
-        apply_events(spark.read.parquet(f"{snapshot}/v{batch_id}"), done).write.mode("overwrite").parquet(f"{snapshot}/v{batch_id + 1}")
-
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        touched = batch.select("folder_id").distinct()
+        if not touched.isEmpty():
+            files = latest_files(spark, snapshot, batch_id + 1).join(touched, "folder_id", "left_semi")
+            done = coalesce_events(collapse_cascades(batch).withColumn("burst", F.lit(0)))
+            folder = files.select("path", "folder_id").union(done.select("path", "folder_id")).dropDuplicates(["path"])
+            apply_events(files, done).join(folder, "path").write.mode("overwrite").parquet(f"{snapshot}/delta={batch_id + 1}")
+        batch.unpersist()
+
+    return closed_bursts(source, quiet, late).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

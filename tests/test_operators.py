@@ -1,5 +1,6 @@
 """Behaviours on small tables."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -188,7 +189,50 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = {(r.first_event, r.last_event, r.n) for r in E.bursts(e).collect()}
     assert {(r.first_event, r.last_event, r.n) for r in spark.sql("select * from bursts").collect()} == batch - {(3, 3, 1)}
-    start = spark.createDataFrame([("/r/b", "9", "INDEXED", at(0))], "path string, file_id string, index_status string, modified_at timestamp")
+    start = spark.createDataFrame([("r", "/r/b", "9", "INDEXED", at(0)), ("other", "/o/c", "8", "INDEXED", at(0))], "folder_id string, path string, file_id string, index_status string, modified_at timestamp")
     E.run_incremental(E.event_source(spark, str(tmp_path / "in")), str(tmp_path / "cp2"), str(tmp_path / "snap"), start).awaitTermination(120)
-    last = max(p.name for p in (tmp_path / "snap").iterdir())
-    assert {r.path: r.index_status for r in spark.read.parquet(str(tmp_path / "snap" / last)).collect()} == {"/r/a": "QUEUED", "/r/b": "QUEUED", "/r/end": "QUEUED"}
+    assert {r.path: (r.folder_id, r.index_status) for r in E.latest_files(spark, str(tmp_path / "snap")).collect()} == {"/r/a": ("r", "QUEUED"), "/r/b": ("r", "QUEUED"), "/o/c": ("other", "INDEXED")}
+
+
+def test_a_burst_split_over_batches_comes_as_one(spark, tmp_path):
+    rows = [("CREATE", "/r/a", None, False, 0.0), ("MODIFY", "/r/a", None, False, 0.2), ("MOVE", "/r/b", "/r/a", False, 0.4), ("CREATE", "/r/c", None, False, 60.0), ("CREATE", "/r/end", None, False, 120.0), ("MODIFY", "/r/late", None, False, 1.0), ("CREATE", "/r/end2", None, False, 240.0)]
+    e = events(spark, rows)
+    for i in range(len(rows)):  # an event a batch
+        e.filter(f"event_id = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    q = E.closed_bursts(E.event_source(spark, str(tmp_path / "in"), 1)).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.sql("select * from closed")
+    assert {(r.event_id, r.burst) for r in got.collect()} == {(0, micros(0)), (1, micros(0)), (2, micros(0)), (3, micros(60)), (4, micros(120))}
+    done = {(r.path, r.event_type) for r in E.coalesce_events(E.collapse_cascades(got)).collect()}
+    assert done == {("/r/b", "CREATE"), ("/r/a", "MODIFY"), ("/r/c", "CREATE"), ("/r/end", "CREATE")}
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) == 1
+
+
+def micros(s):
+    return int((at(s) - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+
+
+def test_apply_events_by_brute_force(spark):
+    kinds, rows = ["CREATE", "MODIFY", "DELETE", "MOVE"], []
+    for i in range(120):
+        d, f = f"/r/d{i * 7 % 4}", i * 13 % 6
+        kind = kinds[i * 11 % 4]
+        rows.append((kind, f"{d}/f{f}", f"{d}/g{f}" if kind == "MOVE" else None, False, float(i)))
+    rows.append(("MOVE", "/r/new", "/r/whole", True, 500.0))
+    rows.append(("DELETE", "/r/gone", None, True, 501.0))
+    start = {f"/r/d{d}/{x}{f}": "INDEXED" for d in range(4) for x in "fg" for f in range(6)} | {f"/r/whole/s/h{i}": "INDEXED" for i in range(3)} | {f"/r/gone/h{i}": "FAILED" for i in range(3)} | {"/r/wholesale": "INDEXED"}
+    files = spark.createDataFrame([(p, p, s, at(0)) for p, s in start.items()], "path string, file_id string, index_status string, modified_at timestamp")
+    done = E.coalesce_events(events(spark, rows).withColumn("burst", F.lit(0)))
+    last = {}
+    for k, p, o, d, _ in rows:
+        last[p] = (k, o, d)
+    want = []
+    moves = {o: p for p, (k, o, _) in last.items() if k == "MOVE"}
+    for p, s in start.items():
+        to = next((n + p[len(o) :] for o, n in moves.items() if p == o or p.startswith(o + "/")), p)
+        gone = any(k == "DELETE" and (to == q or to.startswith(q + "/")) for q, (k, _, _) in last.items())
+        want.append((to, "MISSING" if gone else s))
+    written = {p for p, (k, _, d) in last.items() if k in ("CREATE", "MODIFY") and not d}
+    want = [(p, "QUEUED" if p in written else s) for p, s in want] + [(p, "QUEUED") for p in written - {p for p, _ in want}]
+    assert sorted((r.path, r.index_status) for r in E.apply_events(files, done).collect()) == sorted(want)
