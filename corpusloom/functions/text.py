@@ -34,12 +34,13 @@ SECRETS = (
     (r"\bsk-[A-Za-z0-9_-]{16,}\b", "sk-[REDACTED]"),
     (r"(?i)(https?://[^:\s]+:)[^@\s]+(@)", "$1[REDACTED]$2"),
 )
-BLANK = r"[\s\x1c-\x1f\x85 ]"
+#: White space at the ends of a text.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0"
 
 
 def strip(col: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(col, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def tokenize(col: Column) -> Column:
@@ -47,10 +48,6 @@ def tokenize(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def distinct_in_order(words: Column) -> Column:
-    return F.array_distinct(words)
-
-
 def query_tokens(col: Column) -> Column:
     """Words of a query: separators - _ . : / stay inside words and go at their ends; repeats that differ in case are left out."""
     words = F.transform(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"[\p{L}\p{N}_.:/-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[._/:-]+|[._/:-]+$", ""))
@@ -124,7 +121,7 @@ def sigmoid(x: Column) -> Column:
 
 
 def _cjk_count(col: Column) -> Column:
-    return F.length(F.regexp_replace(col, f"[^{CJK}]", ""))
+    return F.when(F.length(col) == F.octet_length(col), 0).otherwise(F.length(F.regexp_replace(col, f"[^{CJK}]", "")))
 
 
 def chunk_tokens(col: Column) -> Column:

@@ -105,7 +105,7 @@ def chunk_documents(elements: DataFrame, *, target: int = TARGET, most: int = MO
     hard = heading | table | F.coalesce(F.lag(table).over(order), F.lit(False)) | spoken | F.coalesce(F.lag(spoken).over(order), F.lit(False))
     e = e.withColumn("hard", hard).withColumn("segment", F.count_if("hard").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     folded = e.select("file_id", "segment", "elem_idx", "piece", "type", "text", "h1", "h2", "section", "line_start", "line_end")
-    c = folded.repartition("file_id").sortWithinPartitions("file_id", "segment", "elem_idx", "piece").mapInPandas(_fold(target, most, overlap), FOLDED)
+    c = folded.repartition("file_id", "segment").sortWithinPartitions("file_id", "segment", "elem_idx", "piece").mapInPandas(_fold(target, most, overlap), FOLDED)
     c = c.withColumn("chunk_index", F.row_number().over(W.partitionBy("file_id").orderBy("segment", "part")) - 1)
     c = c.withColumn("content_hash", T.content_hash(F.col("text")))
     return c.select("file_id", "chunk_index", T.chunk_id(F.col("file_id"), F.col("h1"), F.col("h2"), F.col("chunk_index"), F.col("content_hash")).alias("chunk_id"), "h1", "h2", "section", F.col("text").alias("content"), F.col("type").alias("content_type"), "content_hash", T.chunk_tokens(F.col("text")).alias("token_count"), "line_start", "line_end", "elements")

@@ -204,11 +204,9 @@ def match_explanation(spark, sf):
 
 
 def candidates(spark, sf):
-    """Each source's documents as candidates of one query a language, by length."""
-    from pyspark.sql import Window as W
-
-    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))).filter("rank <= 40")
+    """What the stated queries find among all documents: a pool of 50 each, with texts."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return docs.join(search.small(Q.lexical(spark, sf)), "chunk_id").select("query_id", "rank", "chunk_id", "content")
 
 
 @query("build_context")
