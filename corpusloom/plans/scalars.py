@@ -29,7 +29,19 @@ def normalize_query(spark, sf):
     return q.select("conv_id", "turn", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
-@query("match_terms")
+TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    "match_terms",
+    rf"""WITH m AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '"([^"]+)"', 1), lambda p: trim(p)) AS ph,
+      list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '"[^"]+"', ' ', 'g'), '[\p{{L}}\p{{N}}_.:/-]+'), lambda w: lower(regexp_replace(w, '^[._/:-]+|[._/:-]+$', '', 'g'))), lambda w: w <> '')) AS ws FROM conversations WHERE role = 'user'),
+    t AS (SELECT conv_id, turn, list_distinct(list_filter(list_concat(list_transform(ph, lambda p: {{'toks': {TOKENS.format('p')}, 'prefix': false}}),
+      flatten(list_transform(ws, lambda w: CASE WHEN len({TOKENS.format('w')}) > 1
+        THEN list_concat([{{'toks': {TOKENS.format('w')}, 'prefix': false}}], list_transform(list_filter({TOKENS.format('w')}, lambda p: length(p) >= 2), lambda p: {{'toks': [p], 'prefix': true}}))
+        ELSE [{{'toks': {TOKENS.format('w')}, 'prefix': length(w) >= 2}}] END))), lambda t: len(t.toks) > 0)) AS terms FROM m)
+    SELECT conv_id, turn, CAST(len(terms) AS INTEGER) AS n_terms, CAST(len(list_filter(terms, lambda t: t.prefix)) AS INTEGER) AS n_prefix FROM t""",
+)
 def match_terms(spark, sf):
     q = messages(spark, sf).filter("role = 'user'").select("conv_id", "turn", T.match_terms(F.col("text")).alias("terms"))
     return q.select("conv_id", "turn", F.size("terms").alias("n_terms"), F.size(F.filter("terms", lambda t: t["prefix"])).alias("n_prefix"))
@@ -140,7 +152,21 @@ def extract_citations(spark, sf):
     return n.select("conv_id", "turn", F.array_join(F.filter("n", lambda x: x <= 3), ",").alias("valid"), F.size(F.filter("n", lambda x: x > 3)).cast("long").alias("unresolved"))
 
 
-@query("snippet")
+def _whole_word(word: str) -> str:
+    other = r"[^\p{L}\p{N}_]"
+    return rf"CASE WHEN regexp_matches(low, '(?s)(^|{other}){word}({other}|$)') THEN length(regexp_extract(low, '(?s)^((?:.*?{other})??){word}(?:{other}|$)', 1)) + 1 END"
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+@query(
+    "snippet",
+    f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, length(text) AS n FROM documents),
+    h AS (SELECT *, coalesce(least({_whole_word('license')}, {_whole_word('the')}), least(nullif(instr(low, 'license'), 0), nullif(instr(low, 'the'), 0)), 1) AS hit FROM d),
+    c AS (SELECT *, greatest(1, least(hit - 120, n - 239)) AS start FROM h)
+    SELECT doc_id, CASE WHEN n <= 240 THEN trim(text, {BLANKS}) ELSE CASE WHEN start > 1 THEN '...' ELSE '' END || trim(substr(text, start, 240), {BLANKS}) || CASE WHEN start + 239 < n THEN '...' ELSE '' END END AS snippet FROM c""",
+)
 def snippet(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.snippet(F.col("text"), F.array(F.lit("license"), F.lit("the"))).alias("snippet"))
 
