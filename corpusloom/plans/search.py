@@ -94,7 +94,7 @@ def bm25_topk(spark, sf):
 FIELDS = r"""fields AS (SELECT doc_id AS chunk_id, unnest(['content', 'section', 'source_file']) AS field, unnest([5.0::DOUBLE, 1.0, 15.0]) AS weight,
     unnest([coalesce(text, ''), source || ' ' || lang, concat(source, '_', doc_id, '.txt')]) AS body FROM documents),
   cut AS (SELECT chunk_id, field, weight, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS ws FROM fields),
-  spot AS (SELECT chunk_id, weight, ws, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM cut),
+  spot AS (SELECT chunk_id, field, weight, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM cut),
   size AS (SELECT chunk_id, sum(len(ws)) AS len FROM cut GROUP BY chunk_id), st AS (SELECT count(*) AS n, avg(len) AS a FROM size),
   asked AS (SELECT doc_id AS query_id, doc_id // 50 % {kinds} AS kind, source, lang, ws FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE doc_id % 50 = 0) WHERE len(ws) > 4),
   raw AS (SELECT query_id, kind, CASE kind WHEN 0 THEN '"' || ws[1] || ' ' || ws[2] || '" ' || left(ws[3], 3) WHEN 1 THEN source || '_' || query_id WHEN 2 THEN ws[4] || ' ' || left(ws[5], 2) ELSE source || '_' || query_id || '.txt' END AS query,
@@ -103,7 +103,10 @@ FIELDS = r"""fields AS (SELECT doc_id AS chunk_id, unnest(['content', 'section',
       ELSE [{{'toks': [source, query_id::VARCHAR], 'prefix': false}}, {{'toks': [source], 'prefix': true}}] || CASE WHEN query_id >= 10 THEN [{{'toks': [query_id::VARCHAR], 'prefix': true}}] ELSE [] END END AS terms FROM asked),
   term AS (SELECT query_id, kind, CASE WHEN kind = 3 THEN [{{'toks': [parts[1], parts[2], 'txt'], 'prefix': false}}] || terms[2:] || [{{'toks': ['txt'], 'prefix': true}}] ELSE list_distinct(terms) END AS terms FROM (SELECT *, terms[1].toks AS parts FROM raw)),
   each AS (SELECT query_id, kind, len(terms) AS nt, unnest(terms) AS t FROM term),
-  met AS (SELECT query_id, nt, t, chunk_id, sum(weight) AS f FROM each JOIN spot ON CASE WHEN len(t.toks) > 1 THEN word = t.toks[1] AND ws[pos:pos + len(t.toks) - 1] = t.toks WHEN t.prefix THEN starts_with(word, t.toks[1]) ELSE word = t.toks[1] END GROUP BY ALL),
+  met AS (SELECT query_id, nt, t, chunk_id, sum(weight) AS f FROM (
+      SELECT query_id, nt, t, chunk_id, weight FROM each JOIN spot ON word = t.toks[1] WHERE len(t.toks) = 1 AND NOT t.prefix
+      UNION ALL SELECT query_id, nt, t, s.chunk_id, s.weight FROM each JOIN spot s ON word = t.toks[1] JOIN cut USING (chunk_id, field) WHERE len(t.toks) > 1 AND ws[pos:pos + len(t.toks) - 1] = t.toks
+      UNION ALL SELECT query_id, nt, t, chunk_id, weight FROM each JOIN (SELECT chunk_id, word, sum(weight) AS weight FROM spot GROUP BY ALL) ON starts_with(word, t.toks[1]) WHERE len(t.toks) = 1 AND t.prefix) GROUP BY ALL),
   often AS (SELECT query_id, t, count(*) AS df FROM met GROUP BY ALL),
   found AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / a))), 4) AS score
     FROM met JOIN often USING (query_id, t) JOIN size USING (chunk_id), st GROUP BY query_id, nt, chunk_id HAVING count(*) = nt),
