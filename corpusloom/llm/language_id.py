@@ -252,9 +252,9 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: in
     def parse(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found, start, texts = [], 0, texts.tolist()
-            while start < len(texts):  # some millions of characters at a time
+            while start < len(texts):  # half a million characters at a time
                 end, chars = start, 0
-                while end < len(texts) and (chars < 2_000_000 or end == start):
+                while end < len(texts) and (chars < 500_000 or end == start):
                     chars += len(texts[end] or "")
                     end += 1
                 need, size = phrases(texts[start:end])

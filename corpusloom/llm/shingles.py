@@ -9,7 +9,7 @@ import numpy as np
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE = 1 << 20  # bytes of text hashed at once
+PIECE = 1 << 18  # bytes of text hashed at once
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
