@@ -1,8 +1,8 @@
 """License scans by diagonal voting.
 
 All rolling two-word hashes of a text are joined with the positions that they have in the templates. A hit at word p of the
-text and word t of a template votes for the diagonal p - t, where the template would begin. The votes are counted by
-document, template and diagonal. A phrase whose every pair votes on one diagonal stands there word for word. For notices,
+text and word t of a template votes for the diagonal p - t, where the template would begin. A hit counts if the
+words are the same, not their hashes alone. The votes are counted by document, template and diagonal. A phrase whose every pair votes on one diagonal stands there word for word. For notices,
 neighbouring diagonals are merged, as an inserted or missing word shifts what follows, and a merged span is verified: it must
 hold enough of the template's distinct pairs in little more than the template's length.
 
@@ -63,13 +63,13 @@ def _pairs(words: str) -> Column:
 
 
 def templates(spark, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
-    """(template, label, base, pairs, least, place, hash): least is how many distinct pairs a verified span has."""
+    """(template, label, base, pairs, least, its_words, place, hash): least is how many distinct pairs a verified span has."""
     rows = [(t, label, base) for found, base in ((phrases, True), (notices, False)) for t, label in found.items()]
     values = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("base")) for t, label, base in rows])
     known = spark.range(1).select(F.explode(values).alias("t")).select("t.*").withColumn("words", F.split("template", " "))
     known = known.withColumn("pairs", F.size("words") - 1)
     least = F.when(F.col("pairs") < 10, F.col("pairs")).otherwise(F.ceil(0.7 * F.col("pairs")))
-    return known.select("template", "label", "base", "pairs", least.cast("int").alias("least"), F.inline(_pairs("words")))
+    return known.select("template", "label", "base", "pairs", least.cast("int").alias("least"), F.col("words").alias("its_words"), F.inline(_pairs("words")))
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
@@ -80,11 +80,13 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
     """
     known = templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
     mark = -1  # a place that stands for the document itself, so that every document has a hit
-    known = known.unionByName(known.limit(0).select(*known.columns).unionByName(docs.sparkSession.range(1).select(F.lit("").alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("pairs"), F.lit(0).alias("least"), F.lit(mark).alias("place"), F.xxhash64(F.lit("the document")).alias("hash"))))
+    itself = docs.sparkSession.range(1).select(*[F.lit(v).alias(c) for c, v in (("template", ""), ("label", ""), ("base", False), ("pairs", 0), ("least", 0))], F.array().cast("array<string>").alias("its_words"), F.lit(mark).alias("place"), F.xxhash64(F.lit("the document")).alias("hash"))
+    known = known.unionByName(itself)
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), license_words("text").alias("words"))
-    itself = F.array(F.struct(F.size("words").alias("place"), F.xxhash64(F.lit("the document")).alias("hash")))
-    rolled = words.select("doc_id", "text_key", F.inline(F.concat(itself, _pairs("words"))))
-    hits = rolled.join(F.broadcast(known.withColumnRenamed("place", "at")), "hash")
+    length = F.array(F.struct(F.size("words").alias("place"), F.xxhash64(F.lit("the document")).alias("hash")))
+    rolled = words.select("doc_id", "text_key", "words", F.inline(F.concat(length, _pairs("words"))))
+    same = [F.get("words", F.col("place") + i) == F.get("its_words", F.col("at") + i) for i in (0, 1)]  # word for word, whatever the hash
+    hits = rolled.join(F.broadcast(known.withColumnRenamed("place", "at")), "hash").filter((F.col("template") == "") | (same[0] & same[1]))
     keys = ["doc_id", "text_key"]
     # a repeated row doubles its hits: how often is told by its own mark, so places are counted once
     votes = hits.groupBy(*keys, "template", "label", "base", "pairs", "least", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.count(F.lit(1)).alias("n"))
