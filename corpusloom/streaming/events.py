@@ -104,7 +104,7 @@ def without_late_repeats(events: DataFrame, late: str = "10 minutes") -> DataFra
     return events.dropDuplicates(["event_id"])
 
 
-BURST_EVENTS = T.StructType([*SCHEMA.fields, T.StructField("burst", T.LongType())])
+HELD_EVENTS = T.StructType([*SCHEMA.fields[:-1], T.StructField("micros", T.LongType()), T.StructField("burst", T.LongType())])
 
 
 def closed_bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str = "5 seconds") -> DataFrame:
@@ -112,12 +112,11 @@ def closed_bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str
     time past its last event, so no later event can be part of it. A burst that several micro-batches bring is held by folder until then, and then comes as a whole.
     Events behind the watermark are dropped."""
     step = int(microseconds(events.sparkSession, quiet))
-    names = [f.name for f in SCHEMA.fields]
+    names = HELD_EVENTS.names[:-1]
 
     def hold(key, frames, state):
         rows = json.loads(state.get[0]) if state.exists else []
         for pdf in frames:
-            pdf = pdf.assign(observed_at=pdf["observed_at"].astype("datetime64[us]").astype("int64"))
             rows += [[None if x is None or x != x else x for x in r] for r in pdf[names].astype(object).values.tolist()]
         rows.sort(key=lambda r: (r[-1], r[0]))
         now, out, kept, ends, start = state.getCurrentWatermarkMs() * 1000, [], [], [], 0
@@ -137,11 +136,11 @@ def closed_bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str
             state.remove()
         if not out:
             return
-        made = pd.DataFrame(out, columns=[*names, "burst"])
-        yield made.assign(event_id=made["event_id"].astype("Int64"), observed_at=pd.to_datetime(made["observed_at"].astype("int64"), unit="us"), burst=made["burst"].astype("int64"))
+        yield pd.DataFrame(out, columns=[*names, "burst"])
 
-    held = events.select(*names).withWatermark("observed_at", late)
-    return held.groupBy("folder_id").applyInPandasWithState(hold, BURST_EVENTS, T.StructType([T.StructField("held", T.StringType())]), "append", GroupStateTimeout.EventTimeTimeout)
+    held = events.withColumn("micros", F.unix_micros("observed_at")).select(*names, "observed_at").withWatermark("observed_at", late)
+    closed = held.groupBy("folder_id").applyInPandasWithState(hold, HELD_EVENTS, T.StructType([T.StructField("held", T.StringType())]), "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select(*names[:-1], F.timestamp_micros("micros").alias("observed_at"), "burst")
 
 
 def microseconds(spark: SparkSession, interval: str) -> int:

@@ -74,17 +74,60 @@ def test_fusion(spark):
     boosts = spark.createDataFrame([("q", "a", 0.02), ("q", "c", 0.02)], "query_id string, chunk_id string, boost double")
     up = {r.chunk_id: r.rrf_score for r in search.fuse(lex, den, 10, boosts).collect()}
     assert up["a"] == round(1 / 61 + 0.02, 6) and up["c"] == round(1 / 62 + 0.005, 6)
-    assert {r.method for r in search.fuse(lex, None, 10).collect()} == {"lexical_fallback"}
+    assert {r.method for r in search.fuse(lex, None, 10).collect()} == {"bm25_fallback"}
 
 
-def test_knn_blocks_and_lsh(spark, data):
+def test_knn_blocks_and_sketches(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
     exact = {tuple(r) for r in search.knn_join(q, v, top_k=5).collect()}
     assert exact == {tuple(r) for r in search.knn_join(q, v, top_k=5, block=3).collect()}
     near = {tuple(r) for r in search.knn_join_approx(q, v, top_k=5).collect()}
     pairs = lambda rows: {(r[0], r[1]) for r in rows}
-    assert len({(r[0], r[1]) for r in near} & pairs(exact)) >= 0.9 * len(exact)
+    assert len(pairs(near) & pairs(exact)) >= 0.9 * len(exact)
+    verified = search.sketch_candidates(q, v, 50).count()
+    assert verified <= 0.1 * q.count() * v.count()
+    more = {tuple(r) for r in search.knn_join(q, v.filter("chunk_id < 0"), top_k=5).collect()} | {tuple(r) for r in search.knn_join(q.filter("query_id < 0"), v, top_k=5).collect()}
+    assert not more
+
+
+def test_both_ways_of_lexical_search_agree(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.concat("source", F.lit("_"), "lang").alias("source_file"))
+    w = T.tokenize(F.col("text"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), F.get(w, 0), F.lit(" "), F.get(w, 1), F.lit('" '), F.left(F.get(w, 2), F.lit(2)))).otherwise(F.concat(F.get(w, 3), F.lit(" "), F.left(F.get(w, 4), F.lit(2))))
+    q = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), text.alias("query"), T.match_terms(text).alias("terms")).persist()
+    for match in ("all", "any"):
+        for scope in (None, chunks.filter("chunk_id % 3 = 0")):
+            a, b = (search.lexical_search(q, chunks, top_k=7, match=match, scope=scope, most_terms=n).collect() for n in (1_000_000, 0))
+            assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and a
+    empty = search.lexical_search(q.limit(0), chunks)
+    assert empty.count() == 0 and empty.columns == ["query_id", "chunk_id", "score", "rank"]
+    assert search.lexical_search(q, chunks.limit(0)).count() == 0
+
+
+def test_hybrid_search_of_file_names(spark):
+    chunks = spark.createDataFrame([("a1", "a", "alpha beta", "a.md"), ("a2", "a", "gamma", "a.md"), ("b1", "b", "alpha a md", "b.md"), ("c1", "c", "alpha", "c.md")], "chunk_id string, file_id string, content string, source_file string")
+    files = spark.createDataFrame([(i, f"{i}.md", f"/r/{i}.md", f"{i}.md", "x", ".md", s) for i, s in (("a", "INDEXED"), ("b", "INDEXED"), ("c", "FAILED"))], "file_id string, filename string, path string, relative_path string, folder_id string, extension string, index_status string")
+    vectors = spark.createDataFrame([(c, [float(i), 1.0]) for i, c in enumerate(("a1", "a2", "b1", "c1"))], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([("name", "a.md", [0.0, 1.0]), ("none", "z.md", [0.0, 1.0]), ("words", "alpha", [0.0, 1.0])], "query_id string, query string, embedding array<double>")
+    got = {}
+    for r in search.hybrid_search(q, chunks, vectors, files=files).collect():
+        got.setdefault(r.query_id, {})[r.chunk_id] = (r.lexical_rank, r.dense_rank, r.method)
+    assert set(got) == {"name", "words"} and set(got["name"]) == {"a1", "a2"}
+    assert got["words"]["c1"] == (None, 4, "hybrid") and got["words"]["a1"][0] in (1, 2) and got["words"]["a2"][0] is None
+    assert {r.method for r in search.hybrid_search(q, chunks, vectors, files=files, mode="bm25").collect()} == {"bm25"}
+    assert {r.method for r in search.hybrid_search(q, chunks, None, files=files).collect()} == {"bm25_fallback"}
+    assert search.hybrid_search(q, chunks, vectors, files=files, quality="quality").columns == ["query_id", "rank", "chunk_id", "rrf_score", "reranker_score"]
+    with pytest.raises(ValueError):
+        search.hybrid_search(q, chunks, vectors, mode="bm25", quality="quality")
+
+
+def test_names_with_spaces_are_found(spark):
+    files = spark.createDataFrame([("1", "annual report (final).pdf", "docs/annual report (final).pdf"), ("2", "a.md", "x/a.md"), ("3", "a.md", "y/a.md"), ("4", "note-1.txt", "note-1.txt")], "file_id string, filename string, relative_path string")
+    texts = ["see Annual Report (Final).pdf, and", "xannual report (final).pdf", "in y/a.md or a.md", "note-1.txt.bak", "my-note-1.txt; (note-1.txt)"]
+    chunks = spark.createDataFrame([(str(10 + i), f"c{i}", 0, t) for i, t in enumerate(texts)], "file_id string, chunk_id string, chunk_index int, content string")
+    assert {(r.file_id, r.target_id, r.by) for r in graph.file_references(chunks, files).collect()} == {("10", "1", "filename"), ("12", "3", "path"), ("14", "4", "path")}
 
 
 def test_markdown_and_chunks(spark):
@@ -203,6 +246,7 @@ def test_a_burst_split_over_batches_comes_as_one(spark, tmp_path):
     q = E.closed_bursts(E.event_source(spark, str(tmp_path / "in"), 1)).writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.sql("select * from closed")
+    got = spark.createDataFrame(got.collect(), got.schema)
     assert {(r.event_id, r.burst) for r in got.collect()} == {(0, micros(0)), (1, micros(0)), (2, micros(0)), (3, micros(60)), (4, micros(120))}
     done = {(r.path, r.event_type) for r in E.coalesce_events(E.collapse_cascades(got)).collect()}
     assert done == {("/r/b", "CREATE"), ("/r/a", "MODIFY"), ("/r/c", "CREATE"), ("/r/end", "CREATE")}
