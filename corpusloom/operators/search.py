@@ -60,8 +60,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return each.select("query_id", "n_terms", "term_no", F.col("t.toks").alias("toks"), F.col("t.prefix").alias("prefix"))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all cores if they come from fewer files than there are cores: a file may be one row group, which one task reads."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def _cut_fields(chunks: DataFrame) -> DataFrame:
     """chunk_id, and the words of each weighted field as an array."""
+    chunks = _spread(chunks.select("chunk_id", *[f for f in FIELD_WEIGHTS if f in chunks.columns]), "chunk_id")
     return chunks.select("chunk_id", *[T.tokenize(F.col(f)).alias(f) for f in FIELD_WEIGHTS if f in chunks.columns])
 
 

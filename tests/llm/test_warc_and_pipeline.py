@@ -1,5 +1,10 @@
 import base64
 import hashlib
+import itertools
+import math
+import re
+
+import pytest
 
 import corpus_pipeline
 from corpusloom.llm import queries
@@ -84,3 +89,74 @@ def test_decontamination_judges_rows_without_an_id_one_by_one(spark, data, prose
     docs = spark.createDataFrame([(i, t, s) for i in (None, 5) for s, t in texts.items()] + [(None, None, "null")], "doc_id long, text string, source string")
     kept = sorted((r.doc_id or 0, r.source) for r in corpus_pipeline.decontamination(spark, docs, data).collect())
     assert kept == sorted([(i, s) for i in (0, 5) for s in ("clean", "start", "end")] + [(0, "null")])
+
+
+def linked_to_a_lesser(docs):
+    """Ids of documents that are reachable from a lesser one by links of 75 % on five-word shingles: all pairs."""
+    sets, root = {}, {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        root[d] = d
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d for d in root if find(d) != d}
+
+
+def holds_an_item(text, items):
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    w = cut(text)
+    for item in items:
+        x = cut(item)
+        k = min(5, len(x))
+        want = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if x else set()
+        if want and len(want & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) >= 0.75 * len(want):
+            return True
+    return False
+
+
+def test_stages_by_brute_force(spark, data):
+    docs = table(spark, data, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()}
+    assert kept == set(texts) - linked_to_a_lesser(texts.items()) and len(kept) < len(texts)
+    items = [r.text for r in table(spark, data, "benchmark").collect()]
+    clean = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, data).collect()}
+    assert clean == {d for d, t in texts.items() if not holds_an_item(t, items)}
+    no_letter = {d for d, t in texts.items() if not any(c.isalpha() for c in t or "")}
+    known = {r.doc_id for r in corpus_pipeline.language(spark, docs, data).collect()}
+    assert not known & no_letter and len(known) >= 0.95 * (len(texts) - len(no_letter))
+    by_source = {}
+    for r in docs.collect():
+        by_source.setdefault(r.source, []).append(max(1, len(r.text or "")))
+    chars = {s: sum(v) for s, v in by_source.items()}
+    rate = {s: round(c**0.5 / sum(x**0.5 for x in chars.values()) * sum(chars.values()) / c, 6) for s, c in chars.items()}
+    want = {}
+    for r in docs.collect():
+        u = int(hashlib.md5(f"{r.doc_id}:7:1".encode()).hexdigest()[:13], 16) / 2**52
+        assert rate[r.source] <= 16
+        n, p = 0, math.exp(-rate[r.source])
+        total = p
+        while u >= total:
+            n += 1
+            p *= rate[r.source] / n
+            total += p
+        if n:
+            want[r.doc_id] = n
+    assert {r.doc_id: r["count"] for r in corpus_pipeline.mixing(spark, docs, data).groupBy("doc_id").count().collect()} == want
+
+
+@pytest.mark.parametrize("more", [[], [(5, "x y z"), (5, "x y z")]])
+def test_near_dedup_keeps_rows_without_an_id(spark, data, prose_of, more):
+    docs = spark.createDataFrame([(None, prose_of(1, 40)), (None, prose_of(1, 40)), (2, prose_of(1, 40)), (3, prose_of(1, 40)), *more], "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()]
+    assert sorted(got, key=str) == sorted([None, None, 2, *([5] if more else [])], key=str)
