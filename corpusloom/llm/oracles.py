@@ -79,3 +79,16 @@ SELECT d.*, CAST(copy AS INTEGER) AS copy, rate FROM documents d JOIN k USING (d
 """
 
 ORACLES |= {"op4_warc": WARC, "op7_license_scan": _license_sql(), "op9_mixing": MIXING}
+
+#: Words that no window of 35 words covers whose words start in another place too.
+REPEATS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, LATERAL unnest(range(1, len(w) - 33)) AS t(i)),
+again AS (SELECT r, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS i FROM again, range(35) AS u(k)),
+x AS (SELECT r, i, w[i] AS word FROM d, LATERAL unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS s FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op12_substring_dedup"] = REPEATS

@@ -16,7 +16,10 @@ from corpusloom.llm.lm_scoring import score_texts
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.oracles import ORACLES
+from corpusloom.llm.periodic_runs import runs_query
 from corpusloom.llm.quality import quality_query
+from corpusloom.llm.repeats import remove_repeats
+from corpusloom.llm.token_alignment import alignment_query
 from corpusloom.llm.toxicity import CATEGORIES, category_labels, score_toxicity
 from corpusloom.llm.warc import archive_folder, read_archives, write_archives
 
@@ -79,7 +82,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and of a piece tokenizer aligned in every document, with corpus-wide counts of their links."""
+    return alignment_query(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that also occur elsewhere."""
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one document in ten with a planted tail."""
+    return runs_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_score, op2_quality, op3_toxicity, op4_warc, op5_contamination, op6_language_id, op7_license_scan, op8_fingerprints, op9_mixing, op10_near_dedup)
+    for f in (op1_lm_score, op2_quality, op3_toxicity, op4_warc, op5_contamination, op6_language_id, op7_license_scan, op8_fingerprints, op9_mixing, op10_near_dedup, op11_token_alignment, op12_substring_dedup, op13_periodic_runs)
 }

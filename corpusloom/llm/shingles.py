@@ -24,10 +24,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _byte_values() -> np.ndarray:
-    """A random number for each byte, upper case as lower case; 0 for what parts words."""
+def _byte_values(lower: bool) -> np.ndarray:
+    """A random number for each byte, upper case as lower case unless told otherwise; 0 for what parts words."""
     values = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-    values[65:91] = values[97:123]
+    if lower:
+        values[65:91] = values[97:123]
     values[[32, *range(9, 14)]] = 0
     return values
 
@@ -44,13 +45,13 @@ def _piece_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and how many words each text has. The hash of a word is a polynomial in its bytes,
     modulo 2 ** 64, so differences of running sums give all words at once."""
     data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
     size = PIECE * -(-len(data) // PIECE)
     up, down = _piece_powers(size) if size <= 4 * PIECE else (_powers(int(GOLDEN), size), _powers(pow(int(GOLDEN), -1, 1 << 64), size))
-    value = _byte_values()[data]
+    value = _byte_values(lower)[data]
     space = value == 0
     begin = np.flatnonzero(space[:-1] & ~space[1:])  # the place before a word
     end = np.flatnonzero(~space[:-1] & space[1:])
