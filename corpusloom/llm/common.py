@@ -34,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """As materialize, but in buckets of the keys (100 000 at most), so that later joins on them don't shuffle it again."""
+    spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(min(buckets, 100_000), *keys).option("path", f"{shared_dir(spark)}/{table_name}").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def fresh(name: str, *taken: DataFrame) -> str:
     """name, lengthened until none of the tables has such a column, in any case."""
     have = {c.lower() for df in taken for c in df.columns}

@@ -89,8 +89,8 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 35 words that also occur elsewhere."""
-    cut = remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    cut = remove_repeats(table(spark, sf_dir, "documents"), kept=F.sha2("kept_text", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

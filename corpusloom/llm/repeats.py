@@ -10,7 +10,8 @@
    thousands of documents costs a row an occurrence.
 4. Repeated windows that follow each other are merged into maximal repeats, which then are cut out.
 
-A stretch is known by two 64-bit hashes, of its anchor and of all its words, and a text by two as well; texts that are equal share their rows.
+A stretch is known by two 64-bit hashes, of its anchor and of all its words, and a text by two as well. Texts that are equal are worked on once, and each is shuffled once: it is
+stored in buckets of its key, to which all that is found about it is joined.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, small
+from corpusloom.llm.common import bucketed, materialize, shuffle_partitions
 from corpusloom.llm.shingles import GOLDEN, PIECE, mix64, word_hashes
 
 YIELD_CHARS = 2_000_000  # of text in one batch of results
@@ -138,32 +139,34 @@ def text_key(column: str = "text") -> list[Column]:
     return [F.xxhash64(column).alias("t1"), F.xxhash64(F.lit(17), F.col(column)).alias("t2")]
 
 
-def repeated_passages(docs: DataFrame, *, window: int = 35, gram: int = 8) -> DataFrame:
-    """Per text (t1, t2: see text_key) of docs that holds repeated windows: repeats array<struct<start, n>>, n repeated windows from word start on.
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(t1, t2, text, copies): each text once, in buckets of its key, so that what is found about texts is joined to them without shuffling them again."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    once = rows.select(*text_key(), "text").groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return bucketed(once, "texts", KEY, shuffle_partitions(spark))
 
-    Every window of `window` words of one text whose words also start anywhere else, in the same text too, is found, and no other.
-    Two rows are two texts, also when they are equal or have one doc_id. Null, empty and shorter texts have no window. All other columns
-    are ignored. A text is worked on whole; memory is linear in its length.
-    """
+
+def repeated_windows(once: DataFrame, *, window: int = 35, gram: int = 8) -> DataFrame:
+    """Per text (t1, t2) of distinct texts that holds windows which other texts hold too, or which it holds twice: found array<struct<start, n>>, n such windows
+    from word start on."""
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    texts = docs.filter(F.length("text") >= 2 * window - 1).select("text", *text_key())
+    texts = once.filter(F.length("text") >= 2 * window - 1).select("text", *KEY)
     anchors = texts.select("text").mapInPandas(_cells(window, gram), "h long, c long")
     shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("times > 1")
     shared = materialize(shared.select("h", (F.col("lo") != F.col("hi")).alias("differ")), "anchors")
-    met = materialize(texts.mapInPandas(_cells(window, gram), CELLS).join(small(shared), "h"), "met")
+    met = materialize(texts.mapInPandas(_cells(window, gram), CELLS).join(shared, "h"), "met")
     cell = F.struct("t1", "t2", "first", "n")
     stretches = materialize(met.filter("differ").groupBy("h", "c").agg((F.count(F.lit(1)) == 1).alias("single"), F.min(cell).alias("at")), "stretches")
-    whole = met.filter("differ").join(small(stretches.filter("not single").select("h", "c")), ["h", "c"], "left_semi")
+    whole = met.filter("differ").join(stretches.filter("not single").select("h", "c"), ["h", "c"], "left_semi")
     spans = met.filter("not differ").union(whole).select(*KEY, F.col("first").alias("start"), "n")
 
-    one = stretches.groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("at.first", "at.n", "single")).alias("cells"))  # no more than a text has
-    one = materialize(one, "open")
-    extended = texts.join(small(one, 50_000), KEY).mapInPandas(_extensions(window, gram), EXTENSIONS)
-    extended = materialize(extended, "extensions")
+    opened = stretches.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_list(F.struct("at.first", "at.n", "single")).alias("cells"))  # no more than a text has
+    extended = materialize(texts.join(opened, KEY).mapInPandas(_extensions(window, gram), EXTENSIONS), "extensions")
     again = extended.groupBy("h", "a", "w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h", "a", "w")
-    ends = extended.filter("single").join(small(materialize(again, "repeats")), ["h", "a", "w"], "left_semi").select(*KEY, "start", F.lit(1).alias("n"))
-    return spans.union(ends).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("repeats"))
+    ends = extended.filter("single").join(again, ["h", "a", "w"], "left_semi").select(*KEY, "start", F.lit(1).alias("n"))
+    return spans.union(ends).groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("found"))
 
 
 def _cut(window: int):
@@ -174,16 +177,18 @@ def _cut(window: int):
 
             def out(begin=begin, column=column):
                 lists = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-                return pa.RecordBatch.from_arrays([column["doc_id"].slice(begin, len(kept)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), lists, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
+                return pa.RecordBatch.from_arrays([*(column[k].slice(begin, len(kept)) for k in KEY), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), lists, pa.array(kept, pa.binary()).cast(pa.string())], names=[*KEY, "n_words", "n_removed", "repeats", "kept_text"])
 
             for k in range(len(batch)):
                 text = column["text"][k].as_py() or ""
                 words = text.encode().split()  # parts at \x20 and \x09-\x0D
                 total.append(len(words))
-                found = column["repeats"][k].values
-                merged = []
-                if found is not None and len(found):
+                found, start, n, merged = column["found"][k].values, np.empty(0, np.int64), np.empty(0, np.int64), []
+                if column["copies"][k].as_py() > 1 and len(words) >= window:  # all windows of a text that stands twice
+                    start, n = np.array([0]), np.array([len(words) - window + 1])
+                elif found is not None and len(found):
                     start, n = (found.field(i).to_numpy().astype(np.int64) for i in range(2))
+                if len(start):
                     change = np.zeros(len(words) + 1, np.int64)
                     np.add.at(change, start, 1)
                     np.add.at(change, start + n, -1)
@@ -206,16 +211,18 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 35, gram: int = 8, kept: Column | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, repeats array<struct<start, length>> (the maximal repeats: words from 0) and
-    kept_text, the words outside them joined by one space.
+    kept_text, the words outside them joined by one space. kept: a column made of kept_text that is wanted instead of it, such as a hash.
 
     A word goes if a window of `window` consecutive words that covers it also starts anywhere else in the corpus, the same text included;
     all is judged on the input. Words are parted by \\x20 and \\x09-\\x0D and not changed. Null, empty and blank texts have no words and an empty
-    kept_text. Repeated rows are copies of each other: texts of `window` words or more lose all words. A null doc_id is kept, other
-    columns are ignored, whatever their names, and an empty table gives an empty one. A text of any length is worked on whole.
+    kept_text. Two rows are two texts, also when they are equal or have one doc_id: repeated rows of `window` words or more lose all words. A null doc_id is
+    kept, other columns are ignored, whatever their names, and an empty table gives an empty one. A text of any length is worked on whole; memory is linear in it.
     """
-    found = repeated_passages(docs, window=window, gram=gram)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", *text_key()).join(found, KEY, "left").select("doc_id", "text", "repeats")
-    return rows.mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, repeats array<struct<start:long,length:long>>, kept_text string")
+    once = distinct_texts(docs)
+    found = once.join(repeated_windows(once, window=window, gram=gram), KEY, "left").select(*KEY, "text", "copies", "found")
+    cut = found.mapInArrow(_cut(window), "t1 long, t2 long, n_words long, n_removed long, repeats array<struct<start:long,length:long>>, kept_text string")
+    cut = cut.select(*KEY, "n_words", "n_removed", "repeats", F.col("kept_text") if kept is None else kept)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", *text_key())
+    return rows.join(cut, KEY).drop(*KEY)

@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -115,103 +116,111 @@ def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key >> 32, key & 0xFFFFFFFF, times
 
 
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of each range, one range after the other."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+
 class Aligned:
     """What is known of distinct pieces: tokens, groups and links of each."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
         self.a, self.b = _tokenizers(byte_bpe, piece_bpe)
         self.parts = piece_pattern(self.b.joined) if self.a.parts else None
+        self.lengths = [np.array(list(map(len, v.bytes)), np.int64) for v in (self.a, self.b)]
+        plain = list(map(str, range(max(len(self.a.bytes), len(self.b.bytes)))))
+        self.written = np.array([x + end for end in ",|;\n" for x in plain], object)  # an id and the sign behind it
+        self.known = len(plain)
         self.of: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.of.clear()
-        self.good: list[bool] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of a, of b, groups, links
+        self.good = np.empty(0, bool)
+        self.sizes = np.empty((0, 4), np.int64)  # tokens of a, of b, groups, links
         self.shown: list[str] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []  # a << 32 | b of each link, and how often
+        self.links = np.empty(0, np.int64)  # how many links a piece has in code and times
+        self.code = np.empty(0, np.int64)  # a << 32 | b of each link
+        self.times = np.empty(0, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
-        ids = [self.a.encode(pieces), self.b.encode(pieces) if self.parts else self.b.encode_whole(pieces)]
-        good = [b"".join(map(self.a.bytes.__getitem__, x)) == b"".join(map(self.b.bytes.__getitem__, y)) == r for x, y, r in zip(*ids, raw, strict=True)]
-        which = np.flatnonzero(good)
-        base, total = np.zeros(len(pieces), np.int64), 0
-        for i in which.tolist():
-            base[i], total = total, total + len(raw[i])
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, tokens = [self.a.encode(pieces), self.b.encode(pieces) if self.parts else self.b.encode_whole(pieces)], []
+        good = np.ones(len(pieces), bool)
+        for k, v in enumerate((self.a, self.b)):
+            count = np.fromiter(map(len, ids[k]), np.int64, len(raw))
+            flat = np.fromiter(chain.from_iterable(ids[k]), np.int64, count.sum())
+            bounds = np.concatenate([[0], np.cumsum(self.lengths[k][flat])])[np.concatenate([[0], np.cumsum(count)])]
+            if (np.diff(bounds) != length).any() or b"".join(map(v.bytes.__getitem__, flat.tolist())) != b"".join(raw):
+                good &= np.fromiter((b"".join(map(v.bytes.__getitem__, x)) == r for x, r in zip(ids[k], raw, strict=True)), bool, len(raw))
+            tokens.append((flat, count))
+        base = np.cumsum(np.where(good, length, 0))  # end of each good piece; the others are left out
         sides = []
-        for side, vocabulary in zip(ids, (self.a.bytes, self.b.bytes), strict=True):
-            flat = np.fromiter((t for i in which.tolist() for t in side[i]), np.int64)
-            end = np.cumsum(np.array(list(map(len, vocabulary)), np.int64)[flat])
-            piece = np.repeat(which, [len(side[i]) for i in which.tolist()])
-            start = np.concatenate([[0], end[:-1]]) if len(end) else end
-            sides.append((flat, pd.DataFrame({"piece": piece, "start": start, "end": end, "token": np.arange(len(flat))})))
+        for (flat, count), lengths in zip(tokens, self.lengths, strict=True):
+            keep = np.repeat(good, count)
+            flat, piece = flat[keep], np.repeat(np.arange(len(raw)), count)[keep]
+            end = np.cumsum(lengths[flat])
+            sides.append((flat, pd.DataFrame({"piece": piece, "start": end - lengths[flat], "end": end, "token": np.arange(len(flat))})))
         (ids_a, a), (ids_b, b) = sides
         both = overlaps(a, b)
         ends = np.unique(both.loc[both["end_a"] == both["end_b"], "end_a"].to_numpy(np.int64))
         group_a, group_b = (np.searchsorted(ends, x["end"].to_numpy()) for x in (a, b))
+        which = np.flatnonzero(good)
+        piece_of = which[np.searchsorted(base[which], ends)] if len(ends) else ends
+        per_a, per_b = (np.bincount(g, minlength=len(ends)) for g in (group_a, group_b))
         # links of a group: each distinct id of a with each of b
         ga, xa, na = _counted(group_a, ids_a)
         gb, xb, nb = _counted(group_b, ids_b)
         many = np.bincount(gb, minlength=len(ends))
-        begin = np.cumsum(many) - many
-        rep = many[ga]
-        left = np.repeat(np.arange(len(ga)), rep)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(rep) - rep, rep) + begin[ga[left]]
-        code, times = xa[left] << 32 | xb[right], na[left] * nb[right]
-        piece_of_group = np.searchsorted(base[which], ends, side="left") - 1  # ends lie behind the base of their piece
-        link_ends = np.searchsorted(piece_of_group[ga[left]], np.arange(len(which) + 1))
-        groups = np.searchsorted(piece_of_group, np.arange(len(which) + 1))
-        cut_a, cut_b = (np.searchsorted(g, np.arange(len(ends) + 1)).tolist() for g in (group_a, group_b))
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        links = (np.bincount(group_a, minlength=len(ends)) * np.bincount(group_b, minlength=len(ends))).astype(np.int64)
-        links = np.concatenate([[0], np.cumsum(links)]).tolist()
-        groups, link_ends = groups.tolist(), link_ends.tolist()
-        rank = 0
-        for i, p in enumerate(pieces):
-            self.of[p] = len(self.good)
-            self.good.append(good[i])
-            if not good[i]:
-                self.sizes.append((0, 0, 0, 0))
-                self.shown.append("")
-                self.pairs.append((code[:0], times[:0]))
-                continue
-            lo, hi = groups[rank], groups[rank + 1]
-            self.sizes.append((len(ids[0][i]), len(ids[1][i]), hi - lo, links[hi] - links[lo]))
-            self.shown.append(";".join(",".join(text_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g] : cut_b[g + 1]]) for g in range(lo, hi)))
-            some = slice(link_ends[rank], link_ends[rank + 1])
-            self.pairs.append((code[some].copy(), times[some].copy()))
-            rank += 1
+        left = np.repeat(np.arange(len(ga)), many[ga])
+        right = _ranges((np.cumsum(many) - many)[ga], many[ga])
+        sums = [np.bincount(piece_of, w, len(raw)).astype(np.int64) for w in (per_a, per_b, np.ones(len(ends)), per_a * per_b)]
+        # groups as text: the tokens of a and of b of each group in order, each with the sign behind it
+        order = np.lexsort((np.concatenate([np.zeros(len(ids_a)), np.ones(len(ids_b))]), np.concatenate([group_a, group_b])))
+        sign = np.zeros(len(order), np.int64)
+        last = np.cumsum(per_a + per_b) - 1
+        sign[last - per_b] = 1
+        sign[last] = 2
+        if len(ends):
+            sign[last[np.append(np.diff(piece_of) != 0, True)]] = 3
+        text = "".join(self.written[sign * self.known + np.concatenate([ids_a, ids_b])[order]].tolist()).split("\n")
+        shown = [""] * len(raw)
+        for i, x in zip(which.tolist(), text, strict=False):
+            shown[i] = x
+        self.of.update(zip(pieces, range(len(self.good), len(self.good) + len(raw)), strict=True))
+        self.shown += shown
+        self.good = np.concatenate([self.good, good])
+        self.sizes = np.concatenate([self.sizes, np.stack(sums, axis=1)])
+        self.links = np.concatenate([self.links, np.bincount(piece_of[ga[left]], minlength=len(raw))])
+        self.code = np.concatenate([self.code, xa[left] << 32 | xb[right]])
+        self.times = np.concatenate([self.times, na[left] * nb[right]])
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links a text), groups as text, and of all texts: owner, pair, times."""
         if len(self.of) > MOST_PIECES:
             self.clear()
         cut = [(self.parts.findall(" " + t) if self.parts else [" " + t]) if t else [] for t in texts]
-        new = {p for c in cut for p in c} - self.of.keys()
+        new = set(chain.from_iterable(cut)) - self.of.keys()
         if new:
             self.learn(sorted(new))
-        of, good = self.of, self.good
-        types = [[of[p] for p in c] for c in cut]
-        types = [x if all(map(good.__getitem__, x)) else [] for x in types]
-        shown = [";".join(map(self.shown.__getitem__, x)) for x in types]
-        owner = np.repeat(np.arange(len(texts)), list(map(len, types)))
-        flat = np.fromiter((t for x in types for t in x), np.int64, len(owner))
-        owner, flat, times = _counted(owner, flat)
-        sizes = np.zeros((len(texts), 4), np.int64)
-        np.add.at(sizes, owner, np.array(self.sizes, np.int64).reshape(-1, 4)[flat] * times[:, None])
-        used, flat = np.unique(flat, return_inverse=True)
-        codes = [self.pairs[t] for t in used.tolist()]
-        n = np.array([len(c) for c, _ in codes], np.int64)
-        code, per = (np.concatenate([np.empty(0, np.int64), *[c[k] for c in codes]]) for k in range(2))
-        begin = np.cumsum(n) - n
-        rep = n[flat]
-        at = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(begin[flat], rep)
-        owner, per, code = np.repeat(owner, rep), per[at] * np.repeat(times, rep), code[at]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(self.of.__getitem__, chain.from_iterable(cut)), np.int64, count.sum())
+        owner = np.repeat(np.arange(len(texts)), count)
+        whole = np.bincount(owner, ~self.good[flat], len(texts)) == 0
+        ends = np.cumsum(count).tolist()
+        names = list(map(self.shown.__getitem__, flat.tolist()))
+        shown = [";".join(names[e - n : e]) if w else "" for e, n, w in zip(ends, count.tolist(), whole.tolist(), strict=True)]
+        keep = whole[owner]
+        owner, flat, times = _counted(owner[keep], flat[keep])
+        sizes = np.stack([np.bincount(owner, self.sizes[flat, k] * times, len(texts)).astype(np.int64) for k in range(4)], axis=1)
+        rep = self.links[flat]
+        at = _ranges((np.cumsum(self.links) - self.links)[flat], rep)
+        owner, code, times = np.repeat(owner, rep), self.code[at], self.times[at] * np.repeat(times, rep)
         order = np.lexsort((code, owner))
-        owner, code, per = owner[order], code[order], per[order]
-        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])) if len(code) else np.empty(0, np.int64)
-        return sizes, shown, owner[new], code[new], np.add.reduceat(per, new) if len(new) else per
+        owner, code, times = owner[order], code[order], times[order]
+        first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+        return sizes, shown, owner[first], code[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def _align(byte_bpe: str, piece_bpe: str):

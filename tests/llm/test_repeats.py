@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from corpusloom.llm.queries import op12_substring_dedup
-from corpusloom.llm.repeats import remove_repeats, repeated_passages
+from corpusloom.llm.repeats import remove_repeats
 
 
 def brute_force(docs, window):
@@ -60,7 +60,7 @@ def test_odd_rows(odd_docs, no_docs):
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
     assert got[1] == got[2] == got[3] == [(0, 0)] and got[4] == [(1, 0)] and got[5] == [(120, 120)] * 2 and got[None] == [(120, 120)]
     assert got[8] == [(122, 120)] and got[7][0][0] == 30_000
-    assert remove_repeats(no_docs).count() == repeated_passages(no_docs).count() == 0
+    assert remove_repeats(no_docs).count() == 0
 
 
 def test_query(spark, data):
