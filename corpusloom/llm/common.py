@@ -49,6 +49,12 @@ def fresh(name: str, *taken: DataFrame) -> str:
     return name
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those with these names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,9 +8,9 @@ certain: a document with a share t of n shingles can lack at most n - ceil(t * n
 lacking. Documents that are too short for the item's size are no candidates. The candidates, pairs of a document and an item,
 are verified by exact containment of the item's whole set of shingles.
 
-Only DataFrame functions. While the items' shingles are at most `broadcast_rows`, the anchors are broadcast and the documents
-are read once, each verified in the row where an anchor was found. Else anchors and documents' shingles are joined by hash,
-and the pairs found are joined with the documents again.
+Only DataFrame functions. Items are numbered; an anchor is joined as a hash and a number. A document's shingles are joined without its words, and the
+pairs found are distinct before they are verified. Anchors and the items' sets are broadcast while they are counted to be few, so the
+documents are read where they are; pairs are joined with the documents likewise. Else all are joined by shuffling.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import materialize, small
+
 SHINGLE = 5
 DOCUMENT = ["doc_id", "text_key"]
 
@@ -45,10 +47,11 @@ def _item_sets(items: DataFrame) -> DataFrame:
 
 
 def _anchors(sets: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, item_size, item_grams, hash): of each item the anchors that its size partition needs."""
+    """(number, least_words, hash): of each item the anchors that its size partition needs, and how many words a document must have."""
     largest = F.pow(F.lit(2), F.floor(F.log2("item_size")) + 1).cast("int") - 1
     need = largest - F.ceil(F.lit(threshold) * largest).cast("int") + 1
-    return sets.select("*", F.explode(F.slice("item_grams", F.lit(1), F.least(need, F.col("item_size")))).alias("hash"))
+    least = F.ceil(F.lit(threshold) * F.col("item_size")).cast("int").alias("least_words")
+    return sets.select("number", least, F.explode(F.slice("item_grams", F.lit(1), F.least(need, F.col("item_size")))).alias("hash"))
 
 
 def _grams(short: bool) -> Column:
@@ -58,19 +61,17 @@ def _grams(short: bool) -> Column:
 
 
 def candidates(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Pairs that share an anchor, a pair once or more: doc_id, text_key, item_id, item_size, shared."""
-    sets = _item_sets(items.select("item_id", "text"))
+    """Pairs that share an anchor, each once: doc_id, text_key, item_id, item_size, shared."""
+    sets = materialize(_item_sets(items.select("item_id", "text")).withColumn("number", F.monotonically_increasing_id()), "items")
     rows, least = sets.agg(F.coalesce(F.sum("item_size"), F.lit(0)), F.min("item_size")).first()
+    few = F.broadcast if rows <= broadcast_rows else lambda df: df
     grams = _grams(least == 1)
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), content_words("text").alias("words"))
-    anchors, enough = _anchors(sets, threshold), F.size("words") >= F.ceil(F.lit(threshold) * F.col("item_size"))
-    found = words.select("*", F.explode(grams).alias("hash"))
-    if rows <= broadcast_rows:
-        pairs = found.join(F.broadcast(anchors), "hash").filter(enough)
-    else:
-        met = found.join(anchors.drop("item_grams"), "hash").filter(enough).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "item_id").distinct()
-        again = met.join(words, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key")))
-        pairs = again.join(sets.withColumnRenamed("item_id", "i"), F.col("item_id").eqNullSafe(F.col("i")))
+    found = words.select(*DOCUMENT, F.size("words").alias("n_words"), F.explode(grams).alias("hash"))
+    met = found.join(few(_anchors(sets, threshold)), "hash").filter("n_words >= least_words").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "number").distinct()
+    met = materialize(met, "candidates")
+    again = words.join(small(met), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("text_key"))).select(*DOCUMENT, "words", "number")
+    pairs = again.join(few(sets), "number")
     return pairs.select(*DOCUMENT, "item_id", "item_size", F.size(F.array_intersect("item_grams", grams)).cast("long").alias("shared"))
 
 

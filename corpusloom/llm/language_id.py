@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh
+from corpusloom.llm.common import fresh, others
 
 UNDETERMINED = "und"
 SPACE = 0
@@ -272,7 +272,6 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, *, sample_chars: in
                 start = end
             yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": [], "phrase_rate": []})
 
-    names = {"lang_pred", "score", "phrase_rate"}
-    kept: list[Column] = [F.col(c) for c in docs.columns if c not in names]
+    kept: list[Column] = [F.col(c) for c in others(docs, "lang_pred", "score", "phrase_rate")]
     p = fresh("parsed", docs)
     return docs.select(*kept, parse("text").alias(p)).select(*kept, f"{p}.lang_pred", f"{p}.score", f"{p}.phrase_rate")

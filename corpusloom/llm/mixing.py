@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, materialize, shuffle_partitions
+from corpusloom.llm.common import fresh, materialize, others, shuffle_partitions
 
 STEP = 16.0  # a mean above is split, as e ** -mean must not vanish
 MOST_SOURCES = 200_000  # the rates of so many are broadcast; of more, joined by shuffling
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, pow
     ids get the same count; rows without an id draw by their text. A null text counts as one character of its source. Columns named
     copy or rate are replaced, others kept, whatever their names. The result has a partition for each part_chars characters or more.
     """
-    kept = [c for c in docs.columns if c not in ("copy", "rate")]
+    kept = others(docs, "copy", "rate")
     rates = materialize(source_rates(docs, weights, power, mean), "source-rates")
     sources, chars = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("chars") * F.col("rate")), F.lit(0.0))).first()
     own, rate, copies = (fresh(name, docs) for name in ("own_source", "own_rate", "copies"))

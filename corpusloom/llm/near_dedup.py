@@ -15,6 +15,7 @@ Stages, all distributed:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,25 +134,32 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": list(parent), "b": [find(x) for x in parent]}, dtype="int64").query("a != b")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """links (a, b) to (node, comp): comp is the least node reachable. Nodes without links are absent.
 
-    Each partition turns its links into a forest. Then, round by round, every root takes the least neighbour's root, and what is
-    left of the links is expressed by roots; the number of roots falls at least by half a round. A round shuffles twice.
+    Each partition turns its links into a forest. Then, round by round, every root hooks onto the neighbour that comes first in an order that a hash
+    draws anew for each round, and jumps to where that one hooks; what is left of the links is expressed by roots. Whatever the shape of
+    a component, a chain of ascending ids too, a fixed share of its roots is expected to go in each round, so rounds grow with the logarithm of its size.
+    rounds gets the number of links left after each round.
     """
     edges = materialize(links.mapInPandas(_forest, "a long, b long"), "links")
     label = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")), "labels")
-    while True:
+    for turn in itertools.count():
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialize(both.groupBy(F.col("a").alias("comp")).agg(F.least(F.min("b"), F.col("comp")).alias("up")), "parents")
+        first = both.groupBy("a").agg(F.min(place("b")).alias("first"))
+        up = materialize(first.select(F.col("a").alias("comp"), F.least("first", place("a"))["id"].alias("up")), "parents")
         over = small(up.select(F.col("comp").alias("up"), F.col("up").alias("top")))  # the parent's parent
         up = materialize(up.join(over, "up", "left").select("comp", F.coalesce("top", "up").alias("up")), "parents")
         label = materialize(label.join(small(up), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
         a, b = (small(up.select(F.col("comp").alias(c), F.col("up").alias(f"{c}_up"))) for c in ("a", "b"))
         edges = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
         edges = materialize(edges.filter("a <> b").distinct(), "links")
+        if rounds is not None:
+            rounds.append(edges.count())
         if edges.isEmpty():
-            return label
+            least = label.groupBy("comp").agg(F.min("node").alias("least"))
+            return label.join(small(least), "comp").select("node", F.col("least").alias("comp"))
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

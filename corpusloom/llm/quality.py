@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import draw, fold, materialize
+from corpusloom.llm.common import draw, fold, materialize, others
 
 N_CLASSES = 12
 SYMBOLS = "#$%&*@^~"
@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
             out.append(model.score(features(part)) if model else np.full(len(part), 0.5))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    kept = [F.col(c) for c in docs.columns if c not in ("score", "predicted")]
+    kept = [F.col(c) for c in others(docs, "score", "predicted")]
     return docs.select(*kept, score("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,27 +114,36 @@ def _cells(window: int, gram: int):
 
 
 def _extensions(window: int, gram: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for rows, texts in _pieces(pdf):
-                part, found = pdf.iloc[rows], _Windows(texts, window, gram)
-                at = [np.array([(x["first"], x["n"], x["single"]) for x in cells], np.int64) for cells in part["cells"]]
-                owner = np.repeat(np.arange(len(part)), [len(x) for x in at])
-                first, n, single = np.concatenate(at).T
-                owner_cells, h, c, first_of, _ = found.cells()
-                where = np.searchsorted(owner_cells * 2**32 + first_of, owner * 2**32 + first)  # cells come in this order
-                of = np.repeat(np.arange(len(first)), n)
-                start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                place = start + found.begin[owner[of]]
-                w = found.stretch(place, window)
-                index = np.searchsorted(found.start, place)
-                a = found.anchors()[index] - place
-                keys = {k: part[k].to_numpy()[owner[of]] for k in KEY}
-                yield pd.DataFrame({"h": h[where][of], "a": a.astype(np.int32), "w": w.astype(np.int64), "c": c[where][of], **keys, "start": start.astype(np.int32), "single": single[of] > 0})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            begin, held, texts = 0, 0, []
+            for i in range(len(batch)):
+                texts.append((column["text"][i].as_py() or "").encode("utf-8", "surrogatepass"))
+                held += len(texts[-1])
+                if held >= PIECE or i == len(batch) - 1:
+                    yield _extended({k: c.slice(begin, len(texts)) for k, c in column.items()}, _Windows(texts, window, gram))
+                    begin, held, texts = i + 1, 0, []
 
     return run
 
 
+def _extended(column: dict[str, pa.Array], found: _Windows) -> pa.RecordBatch:
+    """All windows of the open cells of some texts, each as an extension of its anchor."""
+    cells = column["cells"].flatten()
+    first, n, single = (pc.cast(cells.field(k), pa.int64()).to_numpy() for k in ("first", "n", "single"))
+    owner = np.repeat(np.arange(len(found.size)), column["cells"].value_lengths().to_numpy())
+    owner_cells, h, c, first_of, _ = found.cells()
+    where = np.searchsorted(owner_cells * 2**32 + first_of, owner * 2**32 + first)  # cells come in this order
+    of = np.repeat(np.arange(len(first)), n)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    place = start + found.begin[owner[of]]
+    a = found.anchors()[np.searchsorted(found.start, place)] - place
+    keys = [column[k].to_numpy()[owner[of]] for k in KEY]
+    data = [h[where][of], a.astype(np.int32), found.stretch(place, found.window).astype(np.int64), c[where][of], *keys, start.astype(np.int32), single[of] > 0]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in data], names=[x.split()[0] for x in EXTENSIONS.split(", ")])
+
+
 def text_key(column: str = "text") -> list[Column]:
     """Two independent hashes that stand for a text."""
     return [F.xxhash64(column).alias("t1"), F.xxhash64(F.lit(17), F.col(column)).alias("t2")]
@@ -163,7 +173,7 @@ def repeated_windows(once: DataFrame, *, window: int = 35, gram: int = 8) -> Dat
     spans = met.filter("not differ").union(whole).select(*KEY, F.col("first").alias("start"), "n")
 
     opened = stretches.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_list(F.struct("at.first", "at.n", "single")).alias("cells"))  # no more than a text has
-    extended = materialize(texts.join(opened, KEY).mapInPandas(_extensions(window, gram), EXTENSIONS), "extensions")
+    extended = materialize(texts.join(opened, KEY).mapInArrow(_extensions(window, gram), EXTENSIONS), "extensions")
     again = extended.groupBy("h", "a", "w").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h", "a", "w")
     ends = extended.filter("single").join(again, ["h", "a", "w"], "left_semi").select(*KEY, "start", F.lit(1).alias("n"))
     return spans.union(ends).groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("found"))

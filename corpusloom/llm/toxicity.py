@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import draw, fresh, materialize
+from corpusloom.llm.common import draw, fresh, materialize, others
 
 WORD = regex.compile(r"\p{L}+")
 PREFIXES = (4, 5, 6)
@@ -170,7 +170,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, categories: list[str],
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.predict_texts(texts.tolist()), columns=names)
 
-    kept = [F.col(c) for c in docs.columns if c not in names]
+    kept = [F.col(c) for c in others(docs, *names)]
     p = fresh("predicted", docs)
     return docs.select(*kept, predict("text").alias(p)).select(*kept, *[F.col(p)[n].alias(n) for n in names])
 
@@ -191,6 +191,8 @@ CATEGORIES = ["low_quality", "toxic"]
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those whose probability of toxic is at least threshold; same columns."""
-    scored = score_toxicity(docs, category_labels(docs, labels), CATEGORIES)
-    return scored.filter(F.col("p_toxic") < threshold).select(*docs.columns)
+    """docs without those whose probability of toxic is at least threshold; same columns, whatever their names."""
+    own = fresh("judged", docs)
+    held = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias(own))
+    scored = score_toxicity(held, category_labels(docs, labels), CATEGORIES)
+    return scored.filter(F.col("p_toxic") < threshold).select(f"{own}.*")

@@ -130,7 +130,8 @@ def _writer(folder: str, dictionary: bytes, archive_bytes: int, level: int, date
         for pdf in batches:
             for page_id, url, html, key, length, kind, of_id, of_url in pdf.itertuples(index=False):
                 if out is None:
-                    name = f"part-{context.partitionId():06d}-{number:04d}.warc.zst"
+                    # an attempt's own name: a repeated or speculative one can't replace what the manifest of another names
+                    name = f"part-{context.partitionId():06d}-{context.taskAttemptId():08d}-{number:04d}.warc.zst"
                     temporary = f"_{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{root}/{temporary}", compression=None)
                     out.write(struct.pack("<II", MAGIC, len(dictionary)) + dictionary)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm import shingles
+from corpusloom.llm import near_dedup, shingles
 from corpusloom.llm.near_dedup import band_keys, connected_components, near_duplicates, super_minhash
 from corpusloom.llm.shingles import mix64, shingle_sets
 
@@ -109,3 +109,11 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long").repartition(7)
     got = {r.node: r.comp for r in connected_components(links).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_forest", lambda batches: batches)  # every link is one of its own, as if each came from another partition
+    links, rounds = spark.createDataFrame([(i, i + 1) for i in range(4096)] + [(5000 + i, 6000) for i in range(50)], "a long, b long").repartition(8), []
+    got = {r.node: r.comp for r in connected_components(links, rounds).collect()}
+    assert all(got[i] == 0 for i in range(4097)) and all(got[5000 + i] == got[6000] == 5000 for i in range(50))
+    assert len(rounds) <= 15 and all(b < 0.7 * a for a, b in zip(rounds, rounds[1:], strict=False) if a > 50)

@@ -222,3 +222,12 @@ def test_rows_without_an_id_draw_by_their_text(spark):
     docs = spark.createDataFrame([(None, f"text {i}", "s") for i in range(300)] + [(1, "x", "s")], "doc_id long, text string, source string")
     got = mix_sources(docs).groupBy("text").count().collect()
     assert 150 < len(got) < 240 and max(r["count"] for r in got) < 9
+
+
+def test_pairs_are_verified_once(spark, prose_of):
+    w = prose_of(901, 60).split()
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:40])), (None, " ".join(w[5:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(w[5:35])), (6, " ".join(w[30:])), (6, "quite another text of six words")], "item_id long, text string")
+    found = candidates(docs, items)
+    assert found.count() == found.distinct().count() > 3
+    assert sorted(map(str, candidates(docs, items, broadcast_rows=0).distinct().collect())) == sorted(map(str, found.distinct().collect()))
