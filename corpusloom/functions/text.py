@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,14 +45,72 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 
 
+def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """By rule from the Unicode data of the basic plane: letters with marks of U+0300 to U+036F to the letter alone; characters to their compatible forms
+    (NFKC); a character and a mark after it to the composed one."""
+    plain, compatible, composed = {}, {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and all("\u0300" <= m <= "\u036f" for m in parts[1:]):
+            plain[c] = parts[0]
+        if (k := unicodedata.normalize("NFKC", c)) != c:
+            compatible[c] = k
+        pair = unicodedata.decomposition(c)
+        if pair and not pair.startswith("<") and " " in pair:
+            pair = "".join(chr(int(x, 16)) for x in pair.split())
+            if unicodedata.normalize("NFC", pair) == c:
+                composed[pair] = c
+    return plain, compatible, composed
+
+
+_PLAIN, _COMPATIBLE, _COMPOSED = _tables()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _beyond_ascii(col: Column, done: Column) -> Column:
+    """done where the text has more than ASCII: a count of bytes spares all other texts the work."""
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(done)
+
+
+def _replaced(col: Column, table: dict[str, str]) -> Column:
+    """Each character of the table for its longer form. Texts without any are left alone."""
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    chars = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return F.when(col.rlike(f"[{''.join(table)}]"), F.array_join(chars, "")).otherwise(col)
+
+
+def without_marks(col: Column) -> Column:
+    """Letters without their accents and other marks of U+0300 to U+036F, whether composed or apart."""
+    return _beyond_ascii(col, F.translate(col, "".join(_PLAIN) + _MARKS, "".join(_PLAIN.values())))
+
+
+def compatible(col: Column) -> Column:
+    """NFKC for the basic plane, in the JVM: full and half width forms, ligatures, circled and raised characters become plain ones, and marks are composed with the
+    letter before them. Several marks in an order that isn't canonical keep it, and single jamo aren't composed."""
+    one = {k: v for k, v in _COMPATIBLE.items() if len(v) == 1}
+    more = {k: v for k, v in _COMPATIBLE.items() if len(v) != 1}
+    out = _replaced(F.translate(col, "".join(one), "".join(one.values())), more)
+    known = F.create_map(*[F.lit(x) for kv in _COMPOSED.items() for x in kv])
+    marks = "".join(sorted({pair[1] for pair in _COMPOSED}))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+
+    def add(acc: Column, c: Column) -> Column:
+        both = F.try_element_at(known, F.concat(acc["last"], c))
+        return F.when(both.isNotNull(), F.struct(acc["done"].alias("done"), both.alias("last"))).otherwise(F.struct(F.concat(acc["done"], acc["last"]).alias("done"), c.alias("last")))
+
+    whole = F.aggregate(F.split(out, ""), start, add, lambda acc: F.concat(acc["done"], acc["last"]))
+    return _beyond_ascii(col, F.when(out.rlike(f"[{marks}]"), whole).otherwise(out))
+
+
 def tokenize(col: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, without accents and other marks."""
+    return F.regexp_extract_all(F.lower(without_marks(F.coalesce(col, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def query_tokens(col: Column) -> Column:
     """Words of a query: separators - _ . : / stay inside words and go at their ends; repeats that differ in case are left out."""
-    words = F.transform(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"[\p{L}\p{N}_.:/-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[._/:-]+|[._/:-]+$", ""))
+    words = F.transform(F.regexp_extract_all(compatible(F.coalesce(col, F.lit(""))), F.lit(r"[\p{L}\p{N}_.:/-]+"), F.lit(0)), lambda w: F.regexp_replace(w, r"^[._/:-]+|[._/:-]+$", ""))
     words = F.filter(words, lambda w: w != "")
     step = lambda acc, w: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(w)), acc).otherwise(F.concat(acc, F.array(w)))
     return F.aggregate(words, F.array().cast("array<string>"), step)

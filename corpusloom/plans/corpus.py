@@ -11,7 +11,7 @@ from corpusloom.operators import lifecycle as L
 from corpusloom.operators import summary as S
 from corpusloom.plans import search as Q
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import FILES, LINES, TOPICS, files, lines, table, topics
+from corpusloom.sources.tables import FILES, LINES, TOPICS, files, lines, messages, table, topics
 
 # a former snapshot: every third file is unknown, every fifth has another size, every seventh is gone from the scan
 KNOWN = f"WITH {FILES}, k AS (SELECT file_id, path, size_bytes + CASE WHEN CAST(file_id AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS size_bytes, modified_at, sha256, index_status FROM files WHERE CAST(file_id AS BIGINT) % 3 <> 0), s AS (SELECT file_id, path, size_bytes, modified_at FROM files WHERE CAST(file_id AS BIGINT) % 7 <> 0)"
@@ -174,11 +174,11 @@ def synthetic_query(spark, sf):
 
 @query(
     "related_files",
-    rf"""WITH {SYNTHETIC}, q AS (SELECT query_id, regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+') AS ws, embedding FROM synthetic LEFT JOIN embeddings ON vec_id = query_id::BIGINT WHERE query_id::BIGINT % 50 = 0),
+    rf"""WITH {SYNTHETIC}, q AS (SELECT query_id, regexp_extract_all(lower(strip_accents(query)), '[\p{{L}}\p{{N}}]+') AS ws, embedding FROM synthetic LEFT JOIN embeddings ON vec_id = query_id::BIGINT WHERE query_id::BIGINT % 50 = 0),
   qt AS (SELECT DISTINCT query_id, 0 AS nt, unnest(ws) AS term FROM q),
-  tok AS (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM (SELECT chunk_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM lines)),
+  tok AS (SELECT chunk_id, len(w) AS len, unnest(w) AS term FROM (SELECT chunk_id, regexp_extract_all(lower(strip_accents(content)), '[\p{{L}}\p{{N}}]+') AS w FROM lines)),
   tf AS (SELECT chunk_id, len, term, 5.0::DOUBLE * count(*) AS f FROM tok GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  st AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'))) AS a FROM lines),
+  st AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(strip_accents(content)), '[\p{{L}}\p{{N}}]+'))) AS a FROM lines),
   {Q.SCORED.format(having='true', k=60)},
   sim AS (SELECT q.query_id, e.vec_id || ':0' AS chunk_id, round(greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS score FROM q, embeddings e WHERE q.embedding IS NOT NULL AND e.vec_id IN (SELECT doc_id FROM documents)),
   den AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sim QUALIFY rank <= 60), {Q.FUSED},
@@ -222,16 +222,25 @@ def budget_for_model(spark, sf):
     return table(spark, sf, "events").select("event_id", C.budget_for_model(name)["evidence"].alias("evidence"))
 
 
-PROMPT = """SELECT query_id, '{i}' || chr(10) || chr(10) || '--- EVIDENCE ---' || chr(10) || chr(10) || string_agg('[E' || rank || '] [Source: ' || source || ']' || chr(10) || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '--- USER QUESTION ---' || chr(10) || chr(10) || any_value(array_to_string(ws, ' ')) || chr(10) || chr(10) || '--- ANSWER ---' AS prompt
-  FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) WHERE ws IS NOT NULL GROUP BY query_id""".format(i=C.INSTRUCTIONS)
+PROMPT = r"""m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS line FROM conversations QUALIFY back <= 6),
+  u AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY back) AS used FROM m WHERE trim(text) <> ''), h AS (SELECT conv_id AS query_id, string_agg(line, chr(10) ORDER BY turn) AS history FROM u WHERE used <= 3000 GROUP BY conv_id),
+  e AS (SELECT query_id, string_agg('[E' || rank || '] [Source: ' || source || ']' || chr(10) || regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), chr(10) || chr(10) ORDER BY rank) AS evidence,
+    string_agg('E' || rank || '=' || chunk_id, ',' ORDER BY rank) AS citations FROM den JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+  SELECT query_id, '{i}' || chr(10) || chr(10) || CASE WHEN history IS NULL THEN '' ELSE '--- CONVERSATION HISTORY ---' || chr(10) || history || chr(10) || chr(10) END || '--- EVIDENCE ---' || chr(10) || chr(10) || coalesce(evidence, '[No evidence provided]')
+    || chr(10) || chr(10) || '--- USER QUESTION ---' || chr(10) || chr(10) || array_to_string(ws, ' ') || chr(10) || chr(10) || '--- ANSWER ---' AS prompt, coalesce(citations, '') AS citations
+  FROM q LEFT JOIN e USING (query_id) LEFT JOIN h USING (query_id) WHERE ws IS NOT NULL""".format(i=C.INSTRUCTIONS)
 
 
-@query("build_prompts", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)} {PROMPT}")
+@query("build_prompts", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)}, {PROMPT}")
 def build_prompts(spark, sf):
+    """A prompt for each stated text, with the nearest documents of those that have a vector, and the history of the conversation with the query's number."""
     none = F.lit(None).cast("string")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), T.evidence_header(F.col("source"), none, none, none, none).alias("header"))
     e = docs.join(search.small(Q.dense(spark, sf, 3)), "chunk_id").select("query_id", "rank", "chunk_id", "header", "content")
-    return C.build_prompts(e, Q.text_queries(spark, sf)).select("query_id", "prompt")
+    history = S.history_window(messages(spark, sf)).withColumnRenamed("conv_id", "query_id")
+    found = C.build_prompts(e, Q.text_queries(spark, sf), history)
+    cited = F.transform(F.map_entries("citations"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return found.select("query_id", "prompt", F.array_join(cited, ",").alias("citations"))
 
 
 @query("export_search", f"WITH {Q.QUERIES}, {Q.SIM.format(k=3)} SELECT query_id, '# Search: ' || any_value(array_to_string(ws, ' ')) || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || source || ' (score: ' || CASE WHEN rank = 3 THEN 'Unranked' ELSE printf('%.3f', score) END || ')' || chr(10) || chr(10) || left(text, 50), chr(10) || chr(10) ORDER BY rank) AS markdown FROM den JOIN documents ON doc_id = chunk_id JOIN q USING (query_id) WHERE ws IS NOT NULL GROUP BY query_id")

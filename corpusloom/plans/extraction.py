@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import chunking, export, indexing, lifecycle
 from corpusloom.plans.registry import query
 from corpusloom.sources import extract as X
+from corpusloom.sources.shared import shared_path
 from corpusloom.sources.tables import FILES, LINES, files, lines, messages, table
 
 LINE_ROWS = """ln AS (SELECT file_id, chunk_index + 1 AS line, content, coalesce(sum(length(content) + 1) OVER (PARTITION BY file_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM lines)"""
@@ -165,3 +167,26 @@ def incremental_index(spark, sf):
     f = marked_up(spark, sf).withColumn("extension", F.lit(".md")).withColumn("sha256", F.sha2("text", 256))
     old = f.filter(F.col("file_id").cast("long") % 2 == 0).select("file_id", F.lit(0).alias("chunk_index"), F.concat("file_id", F.lit(":0")).alias("chunk_id"), F.col("text").alias("content"), F.col("sha256").alias("source_sha256"), F.lit("1").alias("parser_version"), F.lit("1").alias("chunker_version"))
     return indexing.incremental_index(f, old).select("file_id", "chunk_index", "chunk_id")
+
+
+TURNS = "t AS (SELECT conv_id || ':' || turn AS file_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM conversations)"
+
+
+@query(
+    "index_batches",
+    rf"""WITH {TURNS}, first AS (SELECT file_id, text, 0 AS batch_id FROM t WHERE turn % 2 = 0), second AS (SELECT file_id, CASE WHEN turn % 3 = 0 THEN 'Again: ' || text ELSE text END AS text, turn FROM t WHERE turn % 5 <> 4),
+    f AS (SELECT s.file_id, s.text, CASE WHEN s.text = o.text THEN 0 ELSE 1 END AS batch_id FROM second s LEFT JOIN first o USING (file_id)),
+    c AS (SELECT file_id, batch_id, unnest(list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '')) AS p FROM f)
+    SELECT file_id, CAST(batch_id AS BIGINT) AS batch_id, string_agg(p, chr(10) || chr(10)) AS content, true AS embedded FROM c GROUP BY ALL""",
+)
+def index_batches(spark, sf):
+    """Turns of conversations as files, in two batches: those with even numbers; then all, every third changed and every fifth deleted. The second batch runs twice."""
+    path = shared_path(spark, "index")
+    t = messages(spark, sf).select(F.concat_ws(":", "conv_id", "turn").alias("file_id"), "turn", T.strip(F.col("text")).alias("text"), F.lit(".txt").alias("extension"), F.lit(0).alias("seq"))
+    first = t.filter("turn % 2 = 0").withColumn("deleted", F.lit(False))
+    second = t.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Again: "), "text")).otherwise(F.col("text"))).withColumn("deleted", F.col("turn") % 5 == 4)
+    for number, batch in ((0, first), (1, second), (1, second)):
+        indexing.index_batch(batch.withColumn("sha256", F.sha2("text", 256)), path, number, buckets=16)
+    c = indexing.indexed_chunks(spark, path)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n")
+    return c.groupBy("file_id", "batch_id").agg(joined.alias("content"), F.bool_and(F.col("embedding").isNotNull()).alias("embedded"))

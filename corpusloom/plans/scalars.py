@@ -12,10 +12,10 @@ from corpusloom.sources.tables import FILES, LINES, files, lines, messages, tabl
 TRIM = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 
 
-@query("tokenize", r"SELECT doc_id, len(w) AS n_tokens, w[1] AS first_token, w[-1] AS last_token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)")
+@query("tokenize", r"SELECT doc_id, len(w) AS n_tokens, sha256(array_to_string(w, ' ')) AS tokens_sha256 FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents)")
 def tokenize(spark, sf):
     w = table(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size("w").alias("n_tokens"), F.try_element_at("w", F.lit(1)).alias("first_token"), F.try_element_at("w", F.lit(-1)).alias("last_token"))
+    return w.select("doc_id", F.size("w").alias("n_tokens"), F.sha2(F.array_join("w", " "), 256).alias("tokens_sha256"))
 
 
 @query(
@@ -29,7 +29,7 @@ def normalize_query(spark, sf):
     return q.select("conv_id", "turn", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
-TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 
 
 @query(

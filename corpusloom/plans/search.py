@@ -10,18 +10,18 @@ from corpusloom.plans.registry import query
 from corpusloom.sources.tables import files, lines, FILES, LINES, table
 
 K = 10
-TOKENS = r"tok AS (SELECT doc_id AS chunk_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))"
+TOKENS = r"tok AS (SELECT doc_id AS chunk_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents))"
 STATS = f"""{TOKENS}, tf AS (SELECT chunk_id, len, term, 5.0::DOUBLE * count(*) AS f FROM tok GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  st AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS a FROM documents)"""
+  st AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+'))) AS a FROM documents)"""
 SCORED = """hit AS (SELECT query_id, nt, chunk_id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / a)) AS s
     FROM qt JOIN tf USING (term) JOIN dfs USING (term), st),
   lex0 AS (SELECT query_id, chunk_id, round(sum(s), 4) AS score FROM hit GROUP BY query_id, nt, chunk_id HAVING {having}),
   lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM lex0 QUALIFY rank <= {k})"""
 #: Stated queries: the texts of the documents and the vectors whose ids are divisible by 50, joined in full: either may be missing.
-QUERIES = r"""q AS (SELECT coalesce(doc_id, vec_id) AS query_id, ws, embedding FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents WHERE doc_id % 50 = 0)
+QUERIES = r"""q AS (SELECT coalesce(doc_id, vec_id) AS query_id, ws, embedding FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS ws FROM documents WHERE doc_id % 50 = 0)
     FULL JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) ON vec_id = doc_id),
   qt AS (SELECT DISTINCT query_id, 0 AS nt, unnest(ws) AS term FROM q)"""
-BENCH = r"qt AS (SELECT DISTINCT item_id AS query_id, 0 AS nt, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)"
+BENCH = r"qt AS (SELECT DISTINCT item_id AS query_id, 0 AS nt, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS term FROM benchmark)"
 SIM = """sim AS (SELECT q.query_id, e.vec_id AS chunk_id, round(greatest(-1.0, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 4) AS score FROM q, embeddings e WHERE q.embedding IS NOT NULL),
   den AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sim QUALIFY rank <= {k})"""
 
@@ -93,10 +93,10 @@ def bm25_topk(spark, sf):
 #: Chunks with three fields, and queries of three kinds: a phrase and the beginning of a word; a file's stem; two words of which the second is cut.
 FIELDS = r"""fields AS (SELECT doc_id AS chunk_id, unnest(['content', 'section', 'source_file']) AS field, unnest([5.0::DOUBLE, 1.0, 15.0]) AS weight,
     unnest([coalesce(text, ''), source || ' ' || lang, concat(source, '_', doc_id, '.txt')]) AS body FROM documents),
-  cut AS (SELECT chunk_id, field, weight, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') AS ws FROM fields),
+  cut AS (SELECT chunk_id, field, weight, regexp_extract_all(lower(strip_accents(body)), '[\p{{L}}\p{{N}}]+') AS ws FROM fields),
   spot AS (SELECT chunk_id, field, weight, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM cut),
   size AS (SELECT chunk_id, sum(len(ws)) AS len FROM cut GROUP BY chunk_id), st AS (SELECT count(*) AS n, avg(len) AS a FROM size),
-  asked AS (SELECT doc_id AS query_id, doc_id // 50 % {kinds} AS kind, source, lang, ws FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE doc_id % 50 = 0) WHERE len(ws) > 4),
+  asked AS (SELECT doc_id AS query_id, doc_id // 50 % {kinds} AS kind, source, lang, ws FROM (SELECT *, regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE doc_id % 50 = 0) WHERE len(ws) > 4),
   raw AS (SELECT query_id, kind, CASE kind WHEN 0 THEN '"' || ws[1] || ' ' || ws[2] || '" ' || left(ws[3], 3) WHEN 1 THEN source || '_' || query_id WHEN 2 THEN ws[4] || ' ' || left(ws[5], 2) ELSE source || '_' || query_id || '.txt' END AS query,
     CASE kind WHEN 0 THEN [{{'toks': ws[1:2], 'prefix': false}}, {{'toks': [left(ws[3], 3)], 'prefix': length(left(ws[3], 3)) >= 2}}]
       WHEN 2 THEN [{{'toks': [ws[4]], 'prefix': length(ws[4]) >= 2}}, {{'toks': [left(ws[5], 2)], 'prefix': length(left(ws[5], 2)) >= 2}}]
@@ -208,7 +208,7 @@ def arm_rank(spark, sf):
 
 
 WIDE = f"WITH {lex_cte('true', 100)}, {SIM.format(k=100)}, {FUSED}"
-RERANKED = f"""{WIDE}, p AS (SELECT o.query_id, o.chunk_id, o.rrf_score, list_distinct(q.ws) AS ws, regexp_extract_all(lower(left(text, 2000)), '[\\p{{L}}\\p{{N}}]+') AS has FROM ordered o JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id WHERE rank <= 25 AND q.ws IS NOT NULL),
+RERANKED = f"""{WIDE}, p AS (SELECT o.query_id, o.chunk_id, o.rrf_score, list_distinct(q.ws) AS ws, regexp_extract_all(lower(strip_accents(left(text, 2000))), '[\\p{{L}}\\p{{N}}]+') AS has FROM ordered o JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id WHERE rank <= 25 AND q.ws IS NOT NULL),
   s AS (SELECT *, round(1 / (1 + exp(-(8.0::DOUBLE * len(list_intersect(ws, has)) / greatest(1, len(ws)) - 4))), 6) AS reranker_score FROM p)
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, coalesce(rrf_score, 0) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, rrf_score, reranker_score FROM s"""
 

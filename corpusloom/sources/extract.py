@@ -20,39 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
+from corpusloom.sources.formats import detect_format, route
+from corpusloom.sources.rtf import parse_rtf
+
+__all__ = ["detect_format", "parse_rtf", "route"]
 
 ELEMENTS = "file_id string, elem_idx int, type string, level int, text string"
 ROWS_PER_TABLE = 50
 
-# Leading bytes (hex), then type and label.
-MAGIC = {
-    "255044462D": ("application/pdf", "PDF"),
-    "504B0304": ("application/zip", "ZIP"),
-    "D0CF11E0A1B11AE1": ("application/x-ole-storage", "OLE"),
-    "89504E470D0A1A0A": ("image/png", "PNG"),
-    "FFD8FF": ("image/jpeg", "JPEG"),
-    "474946383": ("image/gif", "GIF"),
-    "7B5C727466": ("application/rtf", "RTF"),
-}
-# Extension, then type, label and extraction branch.
-ROUTES = {
-    ".txt": ("text/plain", "TEXT", "text"),
-    ".md": ("text/markdown", "MARKDOWN", "markdown"),
-    ".py": ("text/x-python", "PYTHON", "code"),
-    ".js": ("text/javascript", "JAVASCRIPT", "code"),
-    ".ts": ("text/typescript", "TYPESCRIPT", "code"),
-    ".java": ("text/x-java", "JAVA", "code"),
-    ".go": ("text/x-go", "GO", "code"),
-    ".rs": ("text/x-rust", "RUST", "code"),
-    ".html": ("text/html", "HTML", "html"),
-    ".htm": ("text/html", "HTML", "html"),
-    ".rtf": ("application/rtf", "RTF", "rtf"),
-    ".csv": ("text/csv", "CSV", "delimited"),
-    ".tsv": ("text/tab-separated-values", "TSV", "delimited"),
-    ".json": ("application/json", "JSON", "json"),
-    ".xml": ("application/xml", "XML", "xml"),
-}
-
 Parser = Callable[[str], list[tuple[str, int | None, str]]]
 EXTRACTORS: dict[str, Parser] = {}
 
@@ -70,18 +45,6 @@ def scan_files(spark: SparkSession, root: str, recursive: bool = True, pattern:
     return f.select("path", F.expr(f"substring(path, locate('{root.rstrip('/')}/', path) + {len(root.rstrip('/')) + 1})").alias("relative_path"), parts["name"].alias("filename"), parts["extension"].alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
 
 
-def detect_format(content: Column, extension: Column) -> Column:
-    """struct<mime, label>: by the leading bytes, else by the extension, else a text or an octet stream."""
-    head, out = F.hex(F.substring(content, 1, 16)), None
-    for magic, (mime, label) in MAGIC.items():
-        kind = F.struct(F.lit(mime).alias("mime"), F.lit(label).alias("label"))
-        out = F.when(F.startswith(head, F.lit(magic)), kind) if out is None else out.when(F.startswith(head, F.lit(magic)), kind)
-    for ext, (mime, label, _) in ROUTES.items():
-        out = out.when(extension == ext, F.struct(F.lit(mime).alias("mime"), F.lit(label).alias("label")))
-    text = F.is_valid_utf8(content.cast("string"))
-    return out.otherwise(F.struct(F.when(text, "text/plain").otherwise("application/octet-stream").alias("mime"), F.when(text, "TEXT").otherwise("BINARY").alias("label")))
-
-
 def decode_strictly(files: DataFrame) -> DataFrame:
     """files (content binary) with text and a decode error: invalid UTF-8 has no text; a byte order mark goes."""
     s = F.col("content").cast("string")
@@ -89,14 +52,6 @@ def decode_strictly(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(good, F.regexp_replace(s, r"^\x{FEFF}", ""))).withColumn("error", F.when(~good, "invalid UTF-8"))
 
 
-def route(files: DataFrame) -> DataFrame:
-    """files with mime, label, branch; what no branch takes is SKIPPED with a reason."""
-    e = F.col("extension")
-    pick = lambda i: F.element_at(F.create_map(*[x for k, v in ROUTES.items() for x in (F.lit(k), F.lit(v[i]))]), e)
-    out = files.withColumn("mime", pick(0)).withColumn("label", pick(1)).withColumn("branch", pick(2))
-    return out.withColumn("status", F.when(F.col("branch").isNull(), "SKIPPED").otherwise("PROCESSING")).withColumn("reason", F.when(F.col("branch").isNull(), F.concat(F.lit("No parser for "), e)))
-
-
 def text_lines(files: DataFrame) -> DataFrame:
     """(file_id, line, content, at): lines from 1, with the place of their first character from 0."""
     rows = files.select("file_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("n", "content"))
@@ -236,19 +191,6 @@ def parse_html(text: str) -> list[tuple[str, int | None, str]]:
     return p.found
 
 
-def parse_rtf(text: str) -> list[tuple[str, int | None, str]]:
-    """Paragraphs: groups of tables and pictures out, escapes read, paragraph marks made line breaks, control words out."""
-    text = re.sub(r"\{\\(fonttbl|colortbl|stylesheet|info|pict|\*)[^{}]*(\{[^{}]*\}[^{}]*)*\}", "", text)
-    text = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), text)
-    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), text)
-    text = re.sub(r"\\(par|line|sect|page)\b ?", "\n", text)
-    text = re.sub(r"\\tab\b ?", "\t", text)
-    text = re.sub(r"\\([{}\\])", lambda m: {"{": "\ue000", "}": "\ue001", "\\": "\ue002"}[m[1]], text)
-    text = re.sub(r"\\[a-zA-Z]+-?\d* ?|[{}]", "", text)
-    text = text.replace("\ue000", "{").replace("\ue001", "}").replace("\ue002", "\\")
-    return [("PARAGRAPH", None, re.sub(r"[ \t]+", " ", p).strip()) for p in text.split("\n") if p.strip()]
-
-
 def parse_delimited(text: str) -> list[tuple[str, int | None, str]]:
     """Tables of 50 rows, each with the header; level is the first row's number, from 1."""
     try:

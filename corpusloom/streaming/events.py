@@ -1,19 +1,19 @@
 """File events as a stream, and the same operators in batch form.
 
-Events: event_id, folder_id, event_type, path, old_path, is_directory, observed_at. State is kept by folder, as a folder's event concerns the paths
+Events: event_id, folder_id, event_type, path, old_path, is_directory, observed_at. State is kept by folder and path, as a folder's event concerns the paths
 under it. A burst is a session of events of one folder with gaps shorter than the quiet time.
 """
 
 from __future__ import annotations
 
-import json
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from corpusloom.operators import lifecycle
 from corpusloom.operators.lifecycle import ancestors
@@ -104,43 +104,114 @@ def without_late_repeats(events: DataFrame, late: str = "10 minutes") -> DataFra
     return events.dropDuplicates(["event_id"])
 
 
-HELD_EVENTS = T.StructType([*SCHEMA.fields[:-1], T.StructField("micros", T.LongType()), T.StructField("burst", T.LongType())])
+OUT_EVENTS = T.StructType([*SCHEMA.fields[:-1], T.StructField("micros", T.LongType()), T.StructField("burst", T.LongType())])
+ROWS_OUT = 20_000  # in one frame of a closed burst
+
+
+class HoldBursts(StatefulProcessor):
+    """Of one folder: its events by path, and the first and last time of its open bursts. An event is written to the state once, when it comes, and read
+    once, when its burst is closed; a timer wakes the folder when the watermark passes the first end of a burst."""
+
+    EVENT = "path string, micros long, event_id long"
+    REST = "event_type string, old_path string, is_directory boolean"
+
+    def __init__(self, step: int):
+        self.step = step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", self.EVENT, self.REST)
+        self.bursts = handle.getMapState("bursts", "first long", "last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        times = []
+        for pdf in rows:
+            for path, micros, event_id, kind, old, whole in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("path", "micros", "event_id", "event_type", "old_path", "is_directory")), strict=True):
+                self.held.updateValue((path, int(micros), int(event_id)), (kind, old, whole))
+                times.append(int(micros))
+        known = [(first, last) for (first,), (last,) in self.bursts.iterator()]
+        merged: list[list[int]] = []
+        for first, last in sorted(known + [(t, t) for t in set(times)]):
+            if merged and first - merged[-1][1] < self.step:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last])
+        for first, _ in known:
+            self.bursts.removeKey((first,))
+        self._wait(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        spans = sorted((first, last) for (first,), (last,) in self.bursts.iterator())
+        closed = [s for s in spans if s[1] + self.step <= now]
+        firsts = [s[0] for s in closed]
+        out, gone = [], []
+        for (path, micros, event_id), (kind, old, whole) in self.held.iterator():
+            at = bisect_right(firsts, micros) - 1
+            if at >= 0 and micros <= closed[at][1]:
+                gone.append((path, micros, event_id))
+                out.append((event_id, key[0], kind, path, old, whole, micros, closed[at][0]))
+                if len(out) >= ROWS_OUT:
+                    yield pd.DataFrame(out, columns=OUT_EVENTS.names)
+                    out = []
+        for x in gone:
+            self.held.removeKey(x)
+        for first, _ in spans:
+            self.bursts.removeKey((first,))
+        self._wait([list(s) for s in spans if s not in closed])
+        if out:
+            yield pd.DataFrame(out, columns=OUT_EVENTS.names)
+
+    def _wait(self, spans: list[list[int]]) -> None:
+        """Keep the open bursts, and one timer for the end of the first that ends."""
+        for first, last in spans:
+            self.bursts.updateValue((first,), (last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if spans:
+            self.handle.registerTimer((min(last for _, last in spans) + self.step) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
 
 
 def closed_bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str = "5 seconds") -> DataFrame:
     """events of a stream, each with its burst (the time of its first event, in microseconds), once the burst is closed: when the watermark is a quiet
-    time past its last event, so no later event can be part of it. A burst that several micro-batches bring is held by folder until then, and then comes as a whole.
-    Events behind the watermark are dropped."""
+    time past its last event, so no later event can be part of it. A burst that several micro-batches bring is held until then, and then comes as a whole.
+    Events behind the watermark are dropped, and LateRows counts them. State is kept by folder and path in a state store that must be RocksDB
+    (spark.sql.streaming.stateStore.providerClass), so it may be larger than memory."""
     step = int(microseconds(events.sparkSession, quiet))
-    names = HELD_EVENTS.names[:-1]
-
-    def hold(key, frames, state):
-        rows = json.loads(state.get[0]) if state.exists else []
-        for pdf in frames:
-            rows += [[None if x is None or x != x else x for x in r] for r in pdf[names].astype(object).values.tolist()]
-        rows.sort(key=lambda r: (r[-1], r[0]))
-        now, out, kept, ends, start = state.getCurrentWatermarkMs() * 1000, [], [], [], 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i][-1] - rows[i - 1][-1] >= step:
-                end = rows[i - 1][-1] + step
-                if end <= now:
-                    out += [[*r, rows[start][-1]] for r in rows[start:i]]
-                else:
-                    kept += rows[start:i]
-                    ends.append(end)
-                start = i
-        if kept:
-            state.update((json.dumps(kept),))
-            state.setTimeoutTimestamp(max(min(ends) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if not out:
-            return
-        yield pd.DataFrame(out, columns=[*names, "burst"])
-
-    held = events.withColumn("micros", F.unix_micros("observed_at")).select(*names, "observed_at").withWatermark("observed_at", late)
-    closed = held.groupBy("folder_id").applyInPandasWithState(hold, HELD_EVENTS, T.StructType([T.StructField("held", T.StringType())]), "append", GroupStateTimeout.EventTimeTimeout)
-    return closed.select(*names[:-1], F.timestamp_micros("micros").alias("observed_at"), "burst")
+    held = events.withColumn("micros", F.unix_micros("observed_at")).filter("micros is not null").withWatermark("observed_at", late)
+    closed = held.groupBy("folder_id").transformWithStateInPandas(HoldBursts(step), OUT_EVENTS, "append", "eventtime")
+    return closed.select(*SCHEMA.names[:-1], F.timestamp_micros("micros").alias("observed_at"), "burst")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, query by query and batch by batch, the rows that stateful operators drop behind the watermark: spark.streams.addListener(LateRows())."""
+
+    COUNTS = "query string, batch_id long, input_rows long, dropped long"
+
+    def __init__(self):
+        self.batches: dict[tuple[str, int], tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches[(p.name or str(p.id), p.batchId)] = (p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(query, batch_id, input_rows, dropped), a row a batch."""
+        rows = [(name, batch, *n) for (name, batch), n in sorted(self.batches.items())]
+        return spark.createDataFrame(rows, self.COUNTS)
 
 
 def microseconds(spark: SparkSession, interval: str) -> int:
