@@ -8,6 +8,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import chunking, export, indexing, lifecycle
 from corpusloom.plans.registry import query
 from corpusloom.sources import extract as X
+from corpusloom.sources import large
 from corpusloom.sources.shared import shared_path
 from corpusloom.sources.tables import FILES, LINES, files, lines, messages, table
 
@@ -190,3 +191,20 @@ def index_batches(spark, sf):
     c = indexing.indexed_chunks(spark, path)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n")
     return c.groupBy("file_id", "batch_id").agg(joined.alias("content"), F.bool_and(F.col("embedding").isNotNull()).alias("embedded"))
+
+
+PRICED = """r AS (SELECT o_orderkey // 2000 AS file_id, CAST(row_number() OVER (PARTITION BY o_orderkey // 2000 ORDER BY o_orderkey) AS BIGINT) AS record, o_orderkey, o_orderstatus, o_orderpriority, o_custkey FROM orders)"""
+
+
+def priced_files(spark, sf):
+    """Orders as delimited files of up to 2000 rows: quoted cells with line breaks, delimiters and quotes in them."""
+    note = F.concat(F.lit('"'), "o_orderstatus", F.lit(';\n""'), "o_orderpriority", F.lit('"""'))
+    o = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 2000).cast("string").alias("file_id"), "o_orderkey", F.concat_ws(";", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, note).otherwise(F.col("o_orderpriority")), "o_custkey").alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"])
+    return o.groupBy("file_id").agg(F.concat(F.lit("key;note;customer\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("text"))
+
+
+@query("delimited_cells", f"WITH {PRICED} SELECT file_id::VARCHAR AS file_id, record, o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || ';' || chr(10) || '\"' || o_orderpriority || '\"' ELSE o_orderpriority END AS note, o_custkey::VARCHAR AS customer FROM r")
+def delimited_cells(spark, sf):
+    c = large.delimited_cells(large.delimited_records(large.lines_of_texts(priced_files(spark, sf), 500)))
+    return c.select("file_id", "record", *[F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(("key", "note", "customer"))])
