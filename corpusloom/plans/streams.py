@@ -75,3 +75,15 @@ def live_status(spark, sf):
 def late_events(spark, sf):
     e = file_events(spark, sf)
     return E.without_late_repeats(e.union(e)).select("event_id", "observed_at")
+
+
+@query(
+    "scoped_events",
+    f"""WITH {EVENTS}, s AS (SELECT *, event_type = 'MOVE' AS moved, path = '/r/u' || folder_id || '/d1' OR starts_with(path, '/r/u' || folder_id || '/d1/') AS new, coalesce(old_path = '/r/u' || folder_id || '/d1' OR starts_with(old_path, '/r/u' || folder_id || '/d1/'), false) AS old FROM fe WHERE CAST(folder_id AS BIGINT) % 7 <> 0)
+    SELECT event_id, CASE WHEN moved AND NOT new THEN 'DELETE' WHEN moved AND NOT old THEN 'CREATE' ELSE event_type END AS event_type, CASE WHEN moved AND NOT new THEN old_path ELSE path END AS path, CASE WHEN moved AND new AND old THEN old_path END AS old_path FROM s WHERE new OR (moved AND old)""",
+)
+def scoped_events(spark, sf):
+    """Events as they concern the middle directory of each user; every seventh user's folder is disabled."""
+    e = file_events(spark, sf)
+    folders = e.select("folder_id").distinct().select("folder_id", F.concat(F.lit("/r/u"), "folder_id", F.lit("/d1/")).alias("root"), (F.col("folder_id").cast("long") % 7 != 0).alias("indexing_enabled"))
+    return E.scoped_events(e, folders).select("event_id", "event_type", "path", "old_path")

@@ -76,6 +76,19 @@ def collapse_cascades(events: DataFrame) -> DataFrame:
     return out.withColumn("event_type", F.when(born_here, "CREATE").otherwise(F.col("event_type"))).withColumn("old_path", F.when(born_here, F.lit(None).cast("string")).otherwise(F.col("old_path"))).drop("_born")
 
 
+def scoped_events(events: DataFrame, folders: DataFrame) -> DataFrame:
+    """events as they concern their folder (folders: folder_id, root, indexing_enabled), which is to be known and enabled. A move out of the root is a DELETE of the old
+    path, one into it a CREATE of the new path; what happens outside the root is left out. A folder that moves in is a CREATE of a folder, to be scanned."""
+    known = folders.filter("indexing_enabled").select("folder_id", F.regexp_replace("root", "/+$", "").alias("_root"))
+    inside = lambda c: F.coalesce((F.col(c) == F.col("_root")) | F.startswith(F.col(c), F.concat("_root", F.lit("/"))), F.lit(False))
+    move = F.col("event_type").isin("MOVE", "RENAME") & F.col("old_path").isNotNull()
+    e = events.join(lifecycle.small(known), "folder_id").withColumn("_new", inside("path")).withColumn("_old", F.when(move, inside("old_path")).otherwise(F.col("_new")))
+    e = e.filter(F.col("_new") | F.col("_old"))
+    left, came = move & ~F.col("_new"), move & ~F.col("_old")
+    changed = {"event_type": F.when(left, "DELETE").when(came, "CREATE").otherwise(F.col("event_type")), "path": F.when(left, F.col("old_path")).otherwise(F.col("path")), "old_path": F.when(left | came, F.lit(None).cast("string")).otherwise(F.col("old_path"))}
+    return e.select(*[changed.get(c, F.col(c)).alias(c) for c in events.columns])
+
+
 def apply_events(files: DataFrame, events: DataFrame) -> DataFrame:
     """The file table (path, file_id, index_status, modified_at) after a coalesced batch: CREATE and MODIFY queue a file, DELETE marks a file or all under a folder as missing, MOVE and RENAME rewrite paths."""
     moves = events.filter(F.col("event_type").isin("MOVE", "RENAME") & F.col("old_path").isNotNull()).select(F.col("old_path").alias("folder"), F.col("path").alias("new_folder"))
