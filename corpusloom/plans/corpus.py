@@ -9,6 +9,7 @@ from corpusloom.operators import context as C
 from corpusloom.operators import export, graph, search
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import summary as S
+from corpusloom.plans import contexts as X
 from corpusloom.plans import search as Q
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import FILES, LINES, TOPICS, files, lines, messages, table, topics
@@ -209,7 +210,7 @@ def candidates(spark, sf):
     return docs.join(search.small(Q.lexical(spark, sf)), "chunk_id").select("query_id", "rank", "chunk_id", "content")
 
 
-@query("build_context")
+@query("build_context", f"WITH RECURSIVE {Q.lex_cte('true', 50)}, cand AS (SELECT query_id, rank, chunk_id, {X.TOKENS.format('text')} AS tokens FROM lex JOIN documents ON doc_id = chunk_id), {X.FOLD.format(evidence=2596, chunks=20)} SELECT * FROM filled")
 def build_context(spark, sf):
     c = C.build_context(candidates(spark, sf))
     return c.select("query_id", "status", "used", F.size("included").alias("n_included"), F.array_join(F.transform("omitted", lambda o: F.concat(o["chunk_id"].cast("string"), F.lit(":"), o["reason"])), ",").alias("omitted"))

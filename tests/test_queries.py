@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from corpusloom.plans import corpus, extraction, ledger, registry, scalars, search, streams, summary  # noqa: F401
+from corpusloom.plans import contexts, corpus, extraction, ledger, registry, scalars, search, streams, summary  # noqa: F401
 
 
 def norm(v):
