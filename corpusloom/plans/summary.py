@@ -29,15 +29,16 @@ def index_progress(spark, sf):
 
 @query(
     "corpus_overview",
-    f"""WITH {FILES}, {TOPICS}, n AS (SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE index_status = 'INDEXED') AS indexed, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(DISTINCT folder_id) FROM files) AS folders)
-    SELECT i.file_id, filename, files, indexed, conversations, folders FROM (SELECT * FROM insights ORDER BY updated_at DESC, file_id LIMIT 10) i JOIN files f ON f.file_id = i.file_id, n""",
+    f"""WITH {FILES}, {TOPICS}, {LINES}, n AS (SELECT (SELECT count(*) FROM lines) AS chunks, (SELECT count(*) FROM insights) AS insights, (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE index_status = 'INDEXED') AS indexed, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(DISTINCT folder_id) FROM files) AS folders)
+    SELECT i.file_id, filename, files, indexed, chunks, conversations, folders, n.insights AS insights FROM (SELECT * FROM insights ORDER BY updated_at DESC, file_id LIMIT 10) i JOIN files f ON f.file_id = i.file_id, n""",
 )
 def corpus_overview(spark, sf):
     f = files(spark, sf)
     top = S.newest(topics(spark, sf), "file_id", "updated_at", 10).join(f.select("file_id", "filename"), "file_id")
     one = f.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("index_status") == "INDEXED").alias("indexed"), F.countDistinct("folder_id").alias("folders")).select(F.struct("files", "indexed", "folders").alias("s")).scalar()
     talks = messages(spark, sf).agg(F.countDistinct("conv_id")).scalar()
-    return top.select("file_id", "filename", one["files"].alias("files"), one["indexed"].alias("indexed"), talks.alias("conversations"), one["folders"].alias("folders"))
+    total = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return top.select("file_id", "filename", one["files"].alias("files"), one["indexed"].alias("indexed"), total(lines(spark, sf)).alias("chunks"), talks.alias("conversations"), one["folders"].alias("folders"), total(topics(spark, sf)).alias("insights"))
 
 
 @query("topic_clusters", f"WITH {TOPICS} SELECT topic, count(*) AS file_count, string_agg(file_id, ',' ORDER BY file_id) AS files FROM (SELECT DISTINCT file_id, unnest(topics) AS topic FROM insights) GROUP BY topic")
