@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh, materialize, small, table
+from corpusloom.llm.common import held_apart, materialize, small, table
 from corpusloom.llm.contamination import contaminated
 from corpusloom.llm.language_id import UNDETERMINED, identify_languages
 from corpusloom.llm.mixing import mix_sources
@@ -27,10 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that need too many phrases in every known language. An empty table gives an empty one."""
-    own = fresh("judged", docs)
-    held = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias(own))
+    held, back = held_apart(docs)
     found = identify_languages(held, docs.select("doc_id", "text", "lang"))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= MOST_PHRASES)).select(f"{own}.*")
+    return back(found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("phrase_rate") <= MOST_PHRASES)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def held_apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its text and, in one column, all else, so that no name can clash with what an operator adds; and how to bring back the columns as they were."""
+    own = fresh("held", docs)
+    rest = docs.select("text", F.struct(*[F.col(c) for c in others(docs, "text")]).alias(own))
+    return rest, lambda df: df.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col(own)[c].alias(c) for c in docs.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import draw, fresh, materialize, others
+from corpusloom.llm.common import draw, fresh, held_apart, materialize, others
 
 WORD = regex.compile(r"\p{L}+")
 PREFIXES = (4, 5, 6)
@@ -192,7 +192,5 @@ CATEGORIES = ["low_quality", "toxic"]
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those whose probability of toxic is at least threshold; same columns, whatever their names."""
-    own = fresh("judged", docs)
-    held = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias(own))
-    scored = score_toxicity(held, category_labels(docs, labels), CATEGORIES)
-    return scored.filter(F.col("p_toxic") < threshold).select(f"{own}.*")
+    held, back = held_apart(docs)
+    return back(score_toxicity(held, category_labels(docs, labels), CATEGORIES).filter(F.col("p_toxic") < threshold))
