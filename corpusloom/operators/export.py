@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def conversation_markdown(messages: DataFrame, title: Column) -> DataFrame:
@@ -17,9 +19,15 @@ def conversation_json(messages: DataFrame) -> DataFrame:
     return m.select("conv_id", F.to_json(F.struct("conv_id", "messages")).alias("json"))
 
 
+@F.pandas_udf(StringType())
+def three_places(scores: pd.Series) -> pd.Series:
+    """As C prints %.3f: by the exact value of the double, halves to even. Java's format rounds the shortest decimal form up."""
+    return scores.map(lambda x: f"{x:.3f}")
+
+
 def search_markdown(found: DataFrame, queries: DataFrame, score: str) -> DataFrame:
     """(query_id, markdown): the evidence of each query in order; a null score prints as Unranked. found: query_id, rank, source, score, snippet."""
-    shown = F.when(F.col(score).isNull(), "Unranked").otherwise(F.format_string("%.3f", F.col(score)))
+    shown = F.when(F.col(score).isNull(), "Unranked").otherwise(three_places(F.col(score)))
     item = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), "source", F.lit(" (score: "), shown, F.lit(")\n\n"), "snippet")
     rows = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("r"))
     return rows.join(queries.select("query_id", "query"), "query_id").select("query_id", F.concat(F.lit("# Search: "), "query", F.lit("\n\n"), F.array_join(F.transform("r", lambda x: x["item"]), "\n\n")).alias("markdown"))
