@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import text as T
+from corpusloom.operators.search import small
 
 
 def hash_tree(files: DataFrame, *state: str, depth: int = 2) -> DataFrame:
@@ -137,16 +138,17 @@ def inventory_files(files: DataFrame, n: int = 25) -> DataFrame:
 def topic_evidence_edges(requested: DataFrame, insights: DataFrame) -> DataFrame:
     """(file_id, other_id, topic_key, source_evidence, target_evidence): files that share a topic, with the citations of both sides that speak of it.
     insights: file_id, topics array, citations array of struct<chunk_id, chunk_index, text>; evidence: chunk_id and chunk_index of each."""
-    t = insights.select("file_id", F.explode("topics").alias("topic")).select("file_id", T.topic_key(F.col("topic")).alias("topic_key")).filter("topic_key <> ''").distinct()
-    mine = t.join(requested.select("file_id").distinct(), "file_id", "left_semi")
-    pairs = mine.join(t.withColumnRenamed("file_id", "other_id"), "topic_key").filter("file_id <> other_id")
-    words = F.filter(F.split("topic_key", " "), lambda w: F.length(w) > 2)
-
-    def evidence(c: str) -> Column:
-        kept = F.filter(c, lambda x: F.exists(words, lambda w: F.contains(F.lower(x["text"]), w)))
-        return F.transform(F.when(F.size(kept) == 0, F.col(c)).otherwise(kept), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chunk_index"].alias("chunk_index")))
-
-    a, b = (insights.select(F.col("file_id").alias(k), F.col("citations").alias(c)) for k, c in (("file_id", "own"), ("other_id", "theirs")))
-    both = pairs.join(a, "file_id").join(b, "other_id")
-    return both.select("file_id", "other_id", "topic_key", evidence("own").alias("source_evidence"), evidence("theirs").alias("target_evidence"))
+
+    def cited(insights: DataFrame) -> DataFrame:
+        """(file_id, topic_key, evidence): made once for each file and topic, so that a pair meets chunk ids and no texts."""
+        t = insights.select("file_id", F.explode("topics").alias("topic")).select("file_id", T.topic_key(F.col("topic")).alias("topic_key")).filter("topic_key <> ''").distinct()
+        words = F.filter(F.split("topic_key", " "), lambda w: F.length(w) > 2)
+        kept = F.filter("citations", lambda x: F.exists(words, lambda w: F.contains(F.lower(x["text"]), w)))
+        evidence = F.transform(F.when(F.size(kept) == 0, F.col("citations")).otherwise(kept), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chunk_index"].alias("chunk_index")))
+        return t.join(insights.select("file_id", "citations"), "file_id").select("file_id", "topic_key", evidence.alias("evidence"))
+
+    mine = cited(insights.join(small(requested.select("file_id").distinct()), "file_id", "left_semi")).withColumnRenamed("evidence", "source_evidence")
+    theirs = cited(insights).select(F.col("file_id").alias("other_id"), "topic_key", F.col("evidence").alias("target_evidence"))
+    pairs = theirs.join(small(mine), "topic_key").filter("file_id <> other_id")
+    return pairs.select("file_id", "other_id", "topic_key", "source_evidence", "target_evidence")
 
